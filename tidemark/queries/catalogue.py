@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import problems
+from tidemark.queries import problems, relational
 
-MODULES = (problems,)
+MODULES = (problems, relational)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return problems.p2_found(spark, d)
+    return relational.ask_spec_topn(spark, d)
