@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.staging import broadcast_if_small, stage
 
@@ -146,14 +147,14 @@ def html_text(html: str | None) -> str | None:
     return " ".join(" ".join(parser.parts).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of HTML pages, in Arrow batches; a parser, because patterns can't tell script from text."""
     for batch in pages:
         yield batch.map(html_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fenced(text: pd.Series, source: pd.Series) -> pd.Series:
     """A passage between tags, in compatibility form, that can't close its own tag or break the attribute."""
 

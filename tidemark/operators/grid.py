@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.values import measured, safe_ratio
 from tidemark.plans.staging import broadcast_if_small, stage
@@ -143,7 +144,7 @@ def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def overlap_area(subject: pd.Series, window: pd.Series) -> pd.Series:
     """Area of a simple polygon within a convex one, each an array of (x, y)."""
 
