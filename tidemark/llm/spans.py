@@ -116,8 +116,8 @@ def select_fingerprints(texts: list[str | None], gram: int, span: int) -> tuple[
     return number[fresh], place[fresh], value[fresh]
 
 
-def window_hashes(texts: list[str], places: list[np.ndarray], gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, hash, second hash) of every stretch of `span` characters that holds one of the grams at `places`."""
+def window_hashes(texts: list[str], places: list[np.ndarray], gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, hash, second hash, fresh) of every stretch of `span` characters that holds one of the grams at `places`; fresh is the first time that a stretch stands in its text."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     for here, codes in _parts(texts, span):
         first, second = rolling(codes, span, _BASE_A), rolling(codes, span, _BASE_B)
@@ -133,10 +133,15 @@ def window_hashes(texts: list[str], places: list[np.ndarray], gram: int, span: i
                 column.append(values)
             at += length
     if not out[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     number, start, first, second = (np.concatenate(c) for c in out)
-    fresh = np.r_[True, (number[1:] != number[:-1]) | (start[1:] != start[:-1])]
-    return number[fresh], start[fresh], first[fresh], second[fresh]
+    single = np.r_[True, (number[1:] != number[:-1]) | (start[1:] != start[:-1])]  # parts of a long text overlap
+    number, start, first, second = number[single], start[single], first[single], second[single]
+    order = np.lexsort((start, second, first, number))
+    columns = [c[order] for c in (number, first, second)]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[order[1:]] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return number, start, first, second, fresh
 
 
 def _slices(batches: Iterator[pa.RecordBatch], characters: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -241,17 +246,17 @@ class SpanIndex:
         return found.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def windows(self, texts: DataFrame) -> DataFrame:
-        """(a, b, doc, start): the two hashes of every stretch of `span` characters around a noted place."""
+        """(a, b, doc, start, fresh): the two hashes of every stretch of `span` characters around a noted place."""
         gram, span = self.gram, self.span
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _slices(batches):
                 places = [np.array(p, dtype=np.int64) for p in batch.column("places").to_pylist()]
-                number, start, first, second = window_hashes(batch.column("text").to_pylist(), places, gram, span)
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column("doc").take(pa.array(number)), pa.array(start.astype(np.int32))], names=["a", "b", "doc", "start"])
+                number, start, first, second, fresh = window_hashes(batch.column("text").to_pylist(), places, gram, span)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column("doc").take(pa.array(number)), pa.array(start.astype(np.int32)), pa.array(fresh)], names=["a", "b", "doc", "start", "fresh"])
 
         marked = texts.join(broadcast_if_small(stage(self._postings(), "postings"), 100_000), "doc")
-        return marked.select("doc", "text", "places").mapInArrow(run, f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int")
+        return marked.select("doc", "text", "places").mapInArrow(run, f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int, fresh boolean")
 
     def shared(self, texts: DataFrame) -> Shared:
         """What all batches so far share; `texts` has (doc, text) of all their documents.
@@ -261,13 +266,12 @@ class SpanIndex:
         work follows the length of shared text, never the number of pairs.
         """
         if not self.runs:
-            empty = self.spark.createDataFrame([], f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int, set_a bigint, set_b bigint, n_docs bigint")
+            empty = self.spark.createDataFrame([], f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int, n_docs bigint, docs bigint, other {texts.schema['doc'].dataType.simpleString()}")
             return Shared(empty, self.span)
         found = stage(self.windows(texts), "windows")
-        distinct = found.groupBy("a", "b", "doc").agg(F.min("start").alias("start"))
-        groups = distinct.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.bit_xor(F.xxhash64("doc")).alias("set_a"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("set_b"), F.min(F.struct("doc", "start")).alias("first")).filter("n_docs > 1")
-        members = stage(join_same(found, groups, ["a", "b"]), "members")
-        followed = members.filter(~((F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))).select("doc", "start", F.col("first.doc").alias("other"), (F.col("first.start") - F.col("start")).alias("shift"))
+        groups = found.filter("fresh").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.bit_xor(F.xxhash64("doc")).alias("docs"), F.min("doc").alias("other"), F.min_by("start", "doc").alias("other_start")).filter("n_docs > 1")
+        members = stage(found.drop("fresh").join(groups, ["a", "b"]), "members")
+        followed = members.filter((F.col("doc") != F.col("other")) | (F.col("start") != F.col("other_start"))).select("doc", "start", "other", (F.col("other_start") - F.col("start")).alias("shift"))
         line = Window.partitionBy("doc", "other", "shift").orderBy("start")
         islands = followed.withColumn("island", F.col("start") - F.row_number().over(line)).groupBy("doc", "other", "shift", "island").agg(F.min("start").alias("low"), (F.max("start") + self.span).alias("high"))
         islands = stage(islands, "islands")
@@ -276,9 +280,9 @@ class SpanIndex:
         both = broadcast_if_small(stage(mine, "mine"), 20_000).join(texts.withColumnsRenamed({"doc": "other"}), "other")
         wrong = stage(both.filter(F.col("mine") != cut("text", F.col("low") + F.col("shift"))).select("doc", "other", "shift", "low", "high"), "wrong")
         if not wrong.isEmpty():
-            hit = (members["doc"] == wrong["doc"]) & (members["first.doc"] == wrong["other"]) & (members["first.start"] - members["start"] == wrong["shift"]) & members["start"].between(wrong["low"], wrong["high"] - self.span)
+            hit = (members["doc"] == wrong["doc"]) & (members["other"] == wrong["other"]) & (members["other_start"] - members["start"] == wrong["shift"]) & members["start"].between(wrong["low"], wrong["high"] - self.span)
             members = members.join(wrong, hit, "left_anti")
-        return Shared(members.drop("first"), self.span)
+        return Shared(members.drop("other_start"), self.span)
 
 
 @dataclass
@@ -306,11 +310,12 @@ class Shared:
     def pairs(self, chunk: int = 1_000) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch.
 
-        Stretches that stand in the same set of documents are one case, known by the set's fingerprint. A set of n
+        Stretches that stand in the same set of documents are one case, known by the set's size, least member and
+        fingerprint. A set of n
         documents is cut into parts of about `chunk`, and each part meets the whole set in a task of its own; the
         work is what comes out, and no task holds a whole large set's pairs.
         """
-        one = self.members.groupBy("set_a", "set_b", "n_docs").agg(F.min(F.struct("a", "b")).alias("w"))
+        one = self.members.groupBy("docs", "n_docs", "other").agg(F.min(F.struct("a", "b")).alias("w"))
         sets = one.select(F.col("w.a").alias("a"), F.col("w.b").alias("b"))
         inside = stage(join_same(self.members, broadcast_if_small(sets), ["a", "b"]).select("a", "b", "doc", "n_docs").distinct(), "sets")
         parts = F.ceil(F.col("n_docs") / chunk).cast("int")
