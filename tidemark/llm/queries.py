@@ -130,9 +130,9 @@ GROUP BY a.request_id, a.lau_id, a.n, a.top_n HAVING coalesce(sum(CASE WHEN 2 *
 """
 
 
-_P7 = """
-WITH s AS (SELECT lower(trim(source)) AS source, sum(octet_length(encode(text))) AS available FROM documents GROUP BY 1),
-m AS (SELECT t.*, coalesce(available, 0) AS available, sum(coalesce(available, 0)) OVER (PARTITION BY mix_id) AS mix_tokens FROM mix_targets t LEFT JOIN s ON lower(trim(t.source)) = s.source)
+_P7 = rf"""
+WITH s AS (SELECT regexp_replace(lower(source), '^{_WS}+|{_WS}+$', '', 'g') AS source, sum(octet_length(encode(text))) AS available FROM documents GROUP BY 1),
+m AS (SELECT t.*, coalesce(available, 0) AS available, sum(coalesce(available, 0)) OVER (PARTITION BY mix_id) AS mix_tokens FROM mix_targets t LEFT JOIN s ON lower(t.source) = s.source)
 SELECT mix_id, source FROM m WHERE available * max_repeats < target_share * mix_tokens
 """
 
