@@ -52,10 +52,10 @@ def weighted_mean_change(df: DataFrame, keys: Sequence[str], cell: str, time: st
 
     A first aggregation by cell makes a cell's two values one row, so a cell counts at both times or at neither.
     """
-    one = df.groupBy(*keys, cell).agg(F.max(F.when(F.col(time) == first, value)).alias("a"), F.max(F.when(F.col(time) == last, value)).alias("b"), F.max(weight).alias("w"))
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    s = one.groupBy(*keys).agg(F.sum(F.when(both, F.col("a") * F.col("w"))).alias("sa"), F.sum(F.when(both, F.col("b") * F.col("w"))).alias("sb"), F.sum(F.when(both, F.col("w"))).alias("sw"), F.avg(both.cast("double")).alias("coverage"))
-    a, b = safe_ratio(F.col("sa"), F.col("sw")), safe_ratio(F.col("sb"), F.col("sw"))
+    one = df.groupBy(*keys, cell).agg(F.max(F.when(F.col(time) == first, value)).alias("__a"), F.max(F.when(F.col(time) == last, value)).alias("__b"), F.max(weight).alias("__w"))
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    s = one.groupBy(*keys).agg(F.sum(F.when(both, F.col("__a") * F.col("__w"))).alias("__sa"), F.sum(F.when(both, F.col("__b") * F.col("__w"))).alias("__sb"), F.sum(F.when(both, F.col("__w"))).alias("__sw"), F.avg(both.cast("double")).alias("coverage"))
+    a, b = safe_ratio(F.col("__sa"), F.col("__sw")), safe_ratio(F.col("__sb"), F.col("__sw"))
     return s.select(*keys, a.alias("share_first"), b.alias("share_last"), ((b - a) * 100).alias("change_pp"), "coverage")
 
 

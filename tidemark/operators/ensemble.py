@@ -21,25 +21,25 @@ def quartiles(df: DataFrame, keys: Sequence[str], value: str, least: int = 10) -
     percentile keeps a map of value counts per group and merges the maps of the tasks, so equal values cost nothing.
     """
     v = finite(value)
-    q = df.groupBy(*keys).agg(F.count(v).alias("n_points"), F.percentile(v, [0.25, 0.5, 0.75]).alias("q"))
-    enough = lambda i: F.when(F.col("n_points") >= least, F.col("q")[i])
+    q = df.groupBy(*keys).agg(F.count(v).alias("n_points"), F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"))
+    enough = lambda i: F.when(F.col("n_points") >= least, F.col("__q")[i])
     return q.select(*keys, "n_points", enough(0).alias("p25"), enough(1).alias("median"), enough(2).alias("p75"))
 
 
 def ensemble(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Over the members of each key: median, range, quartiles, number of members, agreement on the sign (two members at least, all of one sign)."""
     v = finite(value)
-    out = df.groupBy(*keys).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("q"), F.min(v).alias("ensemble_min"), F.max(v).alias("ensemble_max"), F.count(v).alias("ensemble_members"), F.count_if(v > 0).alias("up"), F.count_if(v < 0).alias("down"))
+    out = df.groupBy(*keys).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"), F.min(v).alias("ensemble_min"), F.max(v).alias("ensemble_max"), F.count(v).alias("ensemble_members"), F.count_if(v > 0).alias("__up"), F.count_if(v < 0).alias("__down"))
     n = F.col("ensemble_members")
-    agrees = (n >= 2) & ((F.col("up") == n) | (F.col("down") == n))
-    return out.select(*keys, F.col("q")[1].alias("ensemble_median"), "ensemble_min", "ensemble_max", F.col("q")[0].alias("ensemble_p25"), F.col("q")[2].alias("ensemble_p75"), "ensemble_members", agrees.alias("ensemble_agrees_on_sign"))
+    agrees = (n >= 2) & ((F.col("__up") == n) | (F.col("__down") == n))
+    return out.select(*keys, F.col("__q")[1].alias("ensemble_median"), "ensemble_min", "ensemble_max", F.col("__q")[0].alias("ensemble_p25"), F.col("__q")[2].alias("ensemble_p75"), "ensemble_members", agrees.alias("ensemble_agrees_on_sign"))
 
 
 def models_agree(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Three-valued: NULL if a member isn't measured, else whether all have one sign and it isn't zero."""
     v = finite(value)
-    s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("k"), F.min(F.signum(v)).alias("low"), F.max(F.signum(v)).alias("high"))
-    return s.select(*keys, F.when(F.col("n") == F.col("k"), (F.col("low") == F.col("high")) & (F.col("low") != 0)).alias("models_agree"))
+    s = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count(v).alias("__k"), F.min(F.signum(v)).alias("__low"), F.max(F.signum(v)).alias("__high"))
+    return s.select(*keys, F.when(F.col("__n") == F.col("__k"), (F.col("__low") == F.col("__high")) & (F.col("__low") != 0)).alias("models_agree"))
 
 
 def size_uncertain(low: Column, high: Column, limit: float = 100.0) -> Column:

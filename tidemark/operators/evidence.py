@@ -52,8 +52,8 @@ def passages(docs: DataFrame, source: str, text: str, most: int = PASSAGE_CHARS)
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): how often each term stands in each document, and how many terms that has."""
-    split = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    return split.select(key, "length", F.explode("t").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    split = docs.select(key, tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
+    return split.select(key, "length", F.explode("__t").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, question: str, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:

@@ -25,9 +25,9 @@ def _pairs(df: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFra
     """Per key the array of (slope, sign) over all pairs of years; one shuffle brings a key's years together, and the
     pairs are made inside the row, so they never travel. A key has one value per year."""
     v = measured(F.col(value).cast("double"))
-    series = df.where(v.isNotNull() & F.col(year).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(year).alias("y"), v.alias("v")))).alias("s"))
-    later = lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(((b["v"] - a["v"]) / (b["y"] - a["y"])).alias("slope"), F.signum(b["v"] - a["v"]).alias("sign")))
-    return series.select(*keys, F.size("s").alias("n_years"), F.flatten(F.transform("s", later)).alias("pairs"))
+    series = df.where(v.isNotNull() & F.col(year).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(year).alias("y"), v.alias("v")))).alias("__s"))
+    later = lambda a, i: F.transform(F.slice("__s", i + 2, F.size("__s")), lambda b: F.struct(((b["v"] - a["v"]) / (b["y"] - a["y"])).alias("slope"), F.signum(b["v"] - a["v"]).alias("sign")))
+    return series.select(*keys, F.size("__s").alias("n_years"), F.flatten(F.transform("__s", later)).alias("__pairs"))
 
 
 def _median(numbers: Column) -> Column:
@@ -40,12 +40,12 @@ def _median(numbers: Column) -> Column:
 def trends(df: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFrame:
     """Sen's slope (median of the slopes of all pairs, by real years) and the Mann-Kendall Z (no correction for ties, with continuity correction); NULL under two years."""
     p = _pairs(df, keys, year, value)
-    s = F.aggregate(F.transform("pairs", lambda x: x["sign"]), F.lit(0.0), lambda a, x: a + x)
+    s = F.aggregate(F.transform("__pairs", lambda x: x["sign"]), F.lit(0.0), lambda a, x: a + x)
     n = F.col("n_years").cast("double")
     spread = F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
-    z = F.when(F.col("s") > 0, safe_ratio(F.col("s") - 1, spread)).when(F.col("s") < 0, safe_ratio(F.col("s") + 1, spread)).otherwise(0.0)
-    slope = _median(F.transform("pairs", lambda x: x["slope"]))
-    return p.select(*keys, "n_years", slope.alias("sen_slope"), s.alias("s")).select(*keys, "n_years", "sen_slope", F.col("s").alias("mk_s"), F.when(F.col("n_years") > 1, z).alias("mk_z"))
+    z = F.when(F.col("__sum") > 0, safe_ratio(F.col("__sum") - 1, spread)).when(F.col("__sum") < 0, safe_ratio(F.col("__sum") + 1, spread)).otherwise(0.0)
+    slope = _median(F.transform("__pairs", lambda x: x["slope"]))
+    return p.select(*keys, "n_years", slope.alias("sen_slope"), s.alias("__sum")).select(*keys, "n_years", "sen_slope", F.col("__sum").alias("mk_s"), F.when(F.col("n_years") > 1, z).alias("mk_z"))
 
 
 def regional_trends(cells: DataFrame, region: str, slope: str, z: str, mean: str, critical: float = 1.96) -> DataFrame:

@@ -12,8 +12,8 @@ from tidemark.functions.values import measured, safe_ratio
 
 def selected_scenario(df: DataFrame, scenario: str, keys: Sequence[str], value: str, default: object) -> DataFrame:
     """Sum of `value` per key over one scenario: the only one there, else `default`; blank (NULL) if there are several and that isn't among them. Never a sum over scenarios."""
-    per = df.groupBy(*keys, scenario).agg(F.sum(measured(value)).alias("v"))
-    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scenarios"), F.max("v").alias("any"), F.max(F.when(F.col(scenario) == F.lit(default), F.col("v"))).alias("chosen")).select(*keys, "n_scenarios", F.when(F.col("n_scenarios") == 1, F.col("any")).otherwise(F.col("chosen")).alias(f"{value}_selected"))
+    per = df.groupBy(*keys, scenario).agg(F.sum(measured(value)).alias("__v"))
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scenarios"), F.max("__v").alias("__any"), F.max(F.when(F.col(scenario) == F.lit(default), F.col("__v"))).alias("__chosen")).select(*keys, "n_scenarios", F.when(F.col("n_scenarios") == 1, F.col("__any")).otherwise(F.col("__chosen")).alias(f"{value}_selected"))
 
 
 def share(top: Column, bottom: Column) -> Column:
