@@ -56,9 +56,9 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     parts = parts.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
     if cut:
         across = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        totals = parts.groupBy(*group, BUCKET).agg(F.sum(value).alias("__total"))
-        offsets = totals.withColumn("__offset", F.coalesce(F.sum("__total").over(across), F.lit(0))).filter("__offset <> 0").drop("__total")
-        parts = join_same(parts, broadcast_if_small(offsets), [*group, BUCKET], "left").withColumn(out, F.col(out) + F.coalesce("__offset", F.lit(0))).drop("__offset")
+        totals = parts.groupBy(*group, BUCKET).agg(F.sum(value).alias("__bucket_total"))
+        offsets = totals.withColumn("__bucket_offset", F.coalesce(F.sum("__bucket_total").over(across), F.lit(0))).filter("__bucket_offset <> 0").drop("__bucket_total")
+        parts = join_same(parts, broadcast_if_small(offsets), [*group, BUCKET], "left").withColumn(out, F.col(out) + F.coalesce("__bucket_offset", F.lit(0))).drop("__bucket_offset")
     return parts.drop(BUCKET)
 
 
