@@ -94,15 +94,17 @@ def split_points(text: str, paragraphs: list[int], items: list[int], ends: list[
 
     The least number of pieces k is what the limit and full overlaps allow. k equal parts give the targets; each
     is moved to the strongest boundary within a quarter of a part, or less where the limit leaves less room. If a
-    piece is still over the limit, k grows by one. Without any boundary the text is cut at the target itself, so
-    a long enough k always fits.
+    piece is still over the limit, k grows by one, or by a fiftieth where it is large. Without any boundary the text is
+    cut at the target itself. Twice the least number fits but where the overlap takes nearly the whole limit;
+    then pieces are cut one after the other, each as near to the limit as its boundaries allow.
     """
     n = len(text)
     if n <= limit:
         return [(0, n, NONE)]
     strong = {PARAGRAPH: paragraphs, SENTENCE: ends, ITEM: items}
     k = max(2, -(-(n - overlap) // (limit - overlap)))
-    while True:
+    most = 2 * k + 8
+    while k <= most:
         part, cuts, fits = n / k, [], True
         start = fresh = 0
         for i in range(1, k):
@@ -117,7 +119,16 @@ def split_points(text: str, paragraphs: list[int], items: list[int], ends: list[
             start, fresh = _overlap_start(text, strong, start + 1, cut, begins, overlap), begins
         if fits and n - start <= limit and fresh < n:
             return [*cuts, (start, n, NONE)]
-        k += 1
+        k += max(1, k // 50)
+    cuts, start, fresh = [], 0, 0
+    while n - start > limit:
+        high = min(start + limit, n - 1)
+        low = min(max(fresh + 1, start + limit // 2), high)
+        cut, strength = _strongest(text, strong, low, high, high)
+        cuts.append((start, cut, strength))
+        fresh = cut + 1 if text[cut] == " " else cut
+        start = max(_overlap_start(text, strong, start + 1, cut, fresh, overlap), fresh + 1 - limit)
+    return [*cuts, (start, n, NONE)]
 
 
 def _plan(texts: pd.Series, limit: int, overlap: int) -> pd.DataFrame:
