@@ -272,3 +272,24 @@ def test_star_and_checks(spark):
 def test_values(spark):
     df = spark.createDataFrame([(1.0, 0.0), (float("nan"), 2.0)], "a double, b double")
     assert [tuple(r) for r in nan_to_null(df).select("a", safe_ratio(F.col("a"), F.col("b")).alias("r")).collect()] == [(1.0, None), (None, None)]
+
+
+def test_defences_and_references(spark):
+    df = spark.createDataFrame([("a", 100, 5.0, 100), ("a", 100, 7.0, 50), ("a", 100, 2.0, None), ("a", 100, None, 500)], "k string, rp int, exposed_pop double, standard int")
+    r = exposure.residual(df, ["k"], "rp", "exposed_pop", "standard").first()
+    assert (r.exposed_pop_all, r.exposed_pop_residual, r.n_held) == (14.0, 9.0, 2)
+    a, b = spark.createDataFrame([(4326,)], "srid int"), spark.createDataFrame([(3035,)], "srid int")
+    grid.require_same_reference(a, a)
+    with pytest.raises(ValueError):
+        grid.require_same_reference(a, b)
+
+
+def test_key_names_like_internal_ones(spark):
+    df = spark.createDataFrame([("a", 2000 + i, float(i)) for i in range(12)], "k string, year int, v double")
+    for name in ("n", "q", "s", "up", "low", "any", "t", "key"):
+        named = df.withColumnRenamed("k", name)
+        assert ensemble.quartiles(named, [name], "v").first()[name] == "a"
+        assert ensemble.ensemble(named, [name], "v").first()[name] == "a"
+        assert ensemble.models_agree(named, [name], "v").first()[name] == "a"
+        assert series.trends(named, [name], "year", "v").first()[name] == "a"
+        assert star.selected_scenario(named, "year", [name], "v", 2003).first()[name] == "a"

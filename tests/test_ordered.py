@@ -35,6 +35,12 @@ def test_carried(spark, limit):
         assert (tuple(row.next_v) if row.next_v else None) == (min(after) if after else None)
 
 
+def test_one_group_without_a_key(spark):
+    df = spark.range(50).select(F.col("id").alias("v"), F.lit(2).alias("n"))
+    for limit in (1_000, 7):
+        assert {r.v: r.below for r in running_sum(df, [], ["v"], "n", rows_per_bucket=limit).collect()} == {i: 2 * i for i in range(50)}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "g string, v int, n int")
     assert running_sum(empty, ["g"], ["v"], "n").count() == 0

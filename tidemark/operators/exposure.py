@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import measured, safe_ratio
@@ -60,3 +60,16 @@ def wide_by_scenario(df: DataFrame, keys: Sequence[str], scenario: str, value: s
     """One column per scenario of a given list, so no job has to look for the values."""
     cell = lambda s: F.max(F.when(F.col(scenario) == s, measured(value))).alias(f"{prefix}{s}")
     return df.groupBy(*keys).agg(*(cell(s) for s in scenarios))
+
+
+def residual(df: DataFrame, keys: Sequence[str], scenario: str, exposed: str, standard: str) -> DataFrame:
+    """Exposure left behind defences: rows whose protection standard holds the scenario (standard >= return period) count as dry; an unknown standard protects nothing."""
+    held = F.coalesce(F.col(standard) >= F.col(scenario), F.lit(False))
+    v = measured(exposed)
+    return df.groupBy(*keys, scenario).agg(F.sum(v).alias(f"{exposed}_all"), F.sum(F.when(held & v.isNotNull(), 0.0).otherwise(v)).alias(f"{exposed}_residual"), F.count_if(held).alias("n_held"))
+
+
+def scenario_class(period: str, named: int = 100) -> Column:
+    """Whether a scenario is more frequent than, as frequent as, or rarer than the one that the law names."""
+    c = F.col(period)
+    return F.when(c < named, "frequent").when(c == named, "named").when(c > named, "rare")

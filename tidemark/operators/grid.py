@@ -212,3 +212,18 @@ def contiguous_groups(touches: DataFrame, members: DataFrame, key: str, most_rou
             return moved.select(F.col("node").alias(key), F.col("label").alias("group"))
         labels = moved.drop("old")
     raise RuntimeError("components have not settled")
+
+
+def levels_by_region(cells: DataFrame, polygons: DataFrame, key: str, size: float, level: str, limit: float, in_box: Column, least_share: float = 0.99, x: str = "x", y: str = "y") -> DataFrame:
+    """Per region the highest level, the cells at `limit` or above, and the cells; all NULL where less than `least_share` of the region's cells lies in the box that was looked at."""
+    inside_box = F.coalesce(in_box, F.lit(False))
+    s = points_in_polygons(cells, polygons, key, size, x, y).groupBy(key).agg(F.max(F.when(inside_box, F.col(level))).alias("max_level"), F.count_if(inside_box & (F.col(level) >= limit)).alias("n_over"), F.count_if(inside_box).alias("n_cells"), F.avg(inside_box.cast("double")).alias("box_share"))
+    seen = F.col("box_share") >= least_share
+    return polygons.select(key).join(s, key, "left").select(key, "box_share", *(F.when(seen, F.col(c)).alias(c) for c in ("max_level", "n_over", "n_cells")))
+
+
+def require_same_reference(a: DataFrame, b: DataFrame, srid: str = "srid") -> None:
+    """ValueError unless both sides are in one and the same reference system."""
+    there = [r[0] for r in a.select(srid).unionByName(b.select(srid)).distinct().limit(3).collect()]
+    if len(there) != 1:
+        raise ValueError(f"reference systems differ: {there}")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.values import measured
 from tidemark.plans.ordered import running_sum
+from tidemark.plans.staging import broadcast_if_small, join_same
 
 
 def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[str] = ()) -> DataFrame:
@@ -19,8 +20,9 @@ def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[s
     """
     v = measured(F.col(value).cast("double"))
     counted = df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below").withColumn("__all", F.sum("__n").over(total))
+    totals = broadcast_if_small(counted.groupBy(*by).agg(F.sum("__n").alias("__all")))
+    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below")
+    ranked = join_same(ranked, totals, by) if by else ranked.crossJoin(totals)  # one row
     ranks = F.array(*(F.greatest(F.ceil(F.lit(i) / classes * F.col("__all")) - 1, F.lit(0)) for i in range(1, classes + 1)))
     chosen = ranked.where(F.exists(ranks, lambda r: (F.col("__below") <= r) & (r < F.col("__below") + F.col("__n"))))
     breaks = chosen.groupBy(*by).agg(F.sort_array(F.collect_set("__v")).alias("breaks"))

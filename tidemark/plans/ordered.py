@@ -38,9 +38,9 @@ def bucketed(df: DataFrame, group: Sequence[str], order: str, sizes: DataFrame |
         return df.withColumn(BUCKET, F.lit(0)), False
     n = min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))
     marks = [i / n for i in range(1, n)]
-    inside = join_same(df, broadcast_if_small(hot.select(*keys)), keys, "left_semi")
+    inside = join_same(df, broadcast_if_small(hot.select(*keys)), keys, "left_semi") if keys else df
     cuts = inside.groupBy(*group).agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), marks, 20 * n)).alias("__cuts"))
-    with_cuts = join_same(df, broadcast_if_small(cuts, 2_000), group, "left")
+    with_cuts = join_same(df, broadcast_if_small(cuts, 2_000), group, "left") if group else df.crossJoin(F.broadcast(cuts))  # one row
     below = F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double")))
     return with_cuts.withColumn(BUCKET, F.when(F.col("__cuts").isNull(), 0).otherwise(below)).drop("__cuts"), True
 

@@ -433,3 +433,31 @@ def indicators_joined(spark, d) -> DataFrame:
     """Many-to-one join of the dimension onto its regions."""
     r = _regions(spark, d)
     return r.select("load_no", "nuts_id", "exposed", "pop", safe_ratio(F.col("exposed"), F.col("pop")).alias("share"))
+
+
+@query(f"""WITH e AS (SELECT load_no, country, return_period, {_N('exposed_pop')} AS x, coalesce(cells_counted % 4 * 50 >= return_period, false) AS held FROM exposure)
+SELECT load_no, country, return_period, sum(x) AS exposed_pop_all, sum(CASE WHEN held AND x IS NOT NULL THEN 0 ELSE x END) AS exposed_pop_residual, count(*) FILTER (WHERE held) AS n_held FROM e GROUP BY ALL""")
+def residual_exposure(spark, d) -> DataFrame:
+    """What is left behind defences; the standard is made up from a column of the table."""
+    e = table(spark, d, "exposure").withColumn("standard", F.col("cells_counted") % 4 * 50)
+    return exposure.residual(e, ["load_no", "country"], "return_period", "exposed_pop", "standard")
+
+
+@query("SELECT return_period, CASE WHEN return_period < 100 THEN 'frequent' WHEN return_period = 100 THEN 'named' WHEN return_period > 100 THEN 'rare' END AS class, count(*) AS n_rows FROM exposure GROUP BY ALL")
+def scenario_classes(spark, d) -> DataFrame:
+    """P21."""
+    return table(spark, d, "exposure").select("return_period", exposure.scenario_class("return_period").alias("class")).groupBy("return_period", "class").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(f"SELECT count(*) AS n_checks, CASE WHEN count(*) FILTER (WHERE state = 'missing') > 0 THEN 'not ready' WHEN count(*) FILTER (WHERE state = 'undeclared') > 0 THEN 'ready with gaps' ELSE 'ready' END AS verdict FROM ({SQL['declared_against_present']})")
+def readiness(spark, d) -> DataFrame:
+    """The verdict over all checks."""
+    return checks.verdict(declared_against_present(spark, d), [], "state")
+
+
+@query("SELECT user_id, greatest(count(*) FILTER (WHERE event_type = 'view'), count(*) FILTER (WHERE event_type = 'click')) AS articles, greatest(count(*) FILTER (WHERE event_type = 'view'), count(*) FILTER (WHERE event_type = 'click')) >= 20 AS censored FROM events GROUP BY 1")
+def news_signal(spark, d) -> DataFrame:
+    """The larger of overlapping counts, and whether a cap was met."""
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "view").alias("a"), F.count_if(F.col("event_type") == "click").alias("b"))
+    most, capped = checks.news_signal([F.col("a"), F.col("b")], 20)
+    return counts.select("user_id", most.alias("articles"), capped.alias("censored"))

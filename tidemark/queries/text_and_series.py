@@ -289,3 +289,9 @@ def legacy_names(spark, d) -> DataFrame:
     """Old names made current."""
     old = table(spark, d, "demographics").withColumnRenamed("household_income_year", "income_vintage")
     return files.with_current_names(old, {"income_vintage": "household_income_year"})
+
+
+@query(f"WITH {_edges_sql()}, s AS (SELECT i.region, max(CASE WHEN pt.x < 95 THEN pt.value END) AS max_level, count(*) FILTER (WHERE pt.x < 95 AND pt.value >= 30) AS n_over, count(*) FILTER (WHERE pt.x < 95) AS n_cells, avg(CASE WHEN pt.x < 95 THEN 1.0 ELSE 0.0 END) AS box_share FROM i JOIN pt USING (event_id) GROUP BY 1) SELECT region, box_share, CASE WHEN box_share >= 0.99 THEN max_level END AS max_level, CASE WHEN box_share >= 0.99 THEN n_over END AS n_over, CASE WHEN box_share >= 0.99 THEN n_cells END AS n_cells FROM s")
+def levels_by_region(spark, d) -> DataFrame:
+    """Highest level by region, where enough of it was looked at."""
+    return grid.levels_by_region(_points(spark, d), _polygons(spark), "region", 20.0, "value", 30.0, F.col("x") < 95)
