@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def window_hashes(texts: list[str], places: list[np.ndarray], gram: int, span: i
 def _slices(batches: Iterator[pa.RecordBatch], characters: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of text, so that a worker's memory doesn't depend on the batch size."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         ends, low = np.cumsum(sizes), 0
         while low < batch.num_rows:
             before = ends[low - 1] if low else 0
