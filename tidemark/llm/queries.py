@@ -136,6 +136,11 @@ m AS (SELECT t.*, coalesce(available, 0) AS available, sum(coalesce(available, 0
 SELECT mix_id, source FROM m WHERE available * max_repeats < target_share * mix_tokens
 """
 
+_P8 = f"""WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN_CHARS - 2})) AS i FROM documents WHERE length(text) >= {SPAN_CHARS}),
+h AS (SELECT doc_id, i, substr(text, i, {SPAN_CHARS}) AS s FROM w), g AS (SELECT s, count(DISTINCT doc_id) AS n FROM h GROUP BY s HAVING count(DISTINCT doc_id) > 1), m AS (SELECT h.*, n FROM h JOIN g ON h.s = g.s)"""
+_P8_SPANS = f"""{_P8}, l AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {SPAN_CHARS} THEN 1 ELSE 0 END AS gap FROM m),
+k AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l), sp AS (SELECT doc_id, min(i) - 1 AS start, max(i) - 1 + {SPAN_CHARS} AS stop, max(n) AS n_docs FROM k GROUP BY doc_id, island)"""
+
 SQL = {
     "p1_found": _p1_sql(),
     "p4_found": rf"""
@@ -147,4 +152,7 @@ UNION SELECT passage_id, 'long_sentence' FROM s WHERE list_max(list_transform(pa
 """,
     "p6_found": f"SELECT doc_id FROM documents WHERE octet_length(encode(text)) > {CONTAINER_TOKENS}",
     "p7_found": _P7,
+    "p8_found": f"{_P8} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.s = b.s AND a.doc_id < b.doc_id",
+    "p8_spans": f'{_P8_SPANS} SELECT doc_id AS doc, start, stop AS "end", n_docs FROM sp',
+    "p8_coverage": f"{_P8_SPANS}, c AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start) AS shared FROM sp GROUP BY 1) SELECT d.doc_id AS doc, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / nullif(length(text), 0)::DOUBLE AS shared_share FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id",
 }
