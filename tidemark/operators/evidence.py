@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.staging import broadcast_if_small, stage
+from tidemark.plans.staging import broadcast_if_small, join_same, stage
 
 #: Words that don't count, thresholds of the gate, and the parameters of BM25.
 STOPWORDS = """
@@ -27,8 +27,8 @@ _CITE = r"\[S(\d+)\]"
 
 def tokens(text: Column) -> Column:
     """Lower-case content words: runs of letters and digits of any script, over two characters, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\W_]+)"), F.lit(1))
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(F.array(*(F.lit(s) for s in STOPWORDS)), w))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(STOPWORDS))
 
 
 def sentences(text: Column) -> Column:
@@ -61,21 +61,25 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
 
     idf is ln(1 + (N - df + 0.5) / (df + 0.5)); a term asked twice counts twice. Only terms that some query asks for
     leave the documents' scan, so postings of common words are never shuffled; document frequencies come from the
-    same reduced postings. Ties go to the lesser key.
+    same reduced postings. Ties, scores equal to nine decimals, go to the lesser key, so the order in which terms were
+    added decides nothing.
     """
     asked = stage(queries.select(query, tokens(F.col(question)).alias("asked")), "asked")
     wanted = asked.select(query, F.explode("asked").alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = broadcast_if_small(wanted.select("term").distinct())
-    sized = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
-    postings = stage(sized.select(key, "length", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    # every document also gets one posting of the term NULL, so lengths come from the same pass over the texts
+    sized = docs.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__t")).withColumn("length", F.size("__t"))
+    exploded = sized.select(key, "length", F.explode(F.array_append("__t", F.lit(None).cast("string"))).alias("term"))
+    marked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(None,)], "term string")).distinct()
+    kept = stage(join_same(exploded, broadcast_if_small(marked), ["term"], "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    totals = kept.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
+    postings = kept.where("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(totals)).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")  # totals are one row
     norm = 1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
     weighted = wanted.join(broadcast_if_small(idf), "term")
     scored = postings.join(broadcast_if_small(weighted), "term").groupBy(query, key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
-    line = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    line = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key)
     best = scored.where("score > 0").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
     return best.join(asked.select(query, F.size(F.array_distinct("asked")).alias("n_asked")), query).select(query, key, "score", "rank", F.try_divide(F.col("n_terms").cast("double"), F.col("n_asked").cast("double")).alias("coverage"))
 

@@ -46,7 +46,7 @@ def sentence_chunks(spark, d) -> DataFrame:
 z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t), p AS (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t), c AS (SELECT doc_id, len, term, count(*) AS tf FROM p GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM c GROUP BY 1), w AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(a) AS term FROM q) GROUP BY ALL),
 s AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS k FROM w JOIN c USING (term) JOIN f USING (term) CROSS JOIN z GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT r.query_id, r.doc_id, score, rank, k / len(list_distinct(a))::DOUBLE AS coverage FROM r JOIN q ON q.query_id = r.query_id WHERE rank <= 5""")
 def bm25_topk(spark, d) -> DataFrame:
     """The five best documents for the titles of the documents whose id is divisible by 20."""
