@@ -12,6 +12,8 @@ from tidemark.operators.fill import fill_missing
 from tidemark.operators.profile import Rule, column_stats, drift, exact_quantiles, findings, profile, profile_of_counts, value_counts
 from tidemark.operators.snapshots import snapshot_changes
 from tidemark.plans.staging import stage
+from tidemark.queries import problems
+from tidemark.sources.tables import table
 
 SNAP = "n int, id string, at timestamp, bytes bigint, sha string, key int, now int"
 T0 = datetime(2024, 1, 1)
@@ -72,6 +74,11 @@ def test_profile(spark):
     assert (p["big"].n_distinct, p["big"].max_whole, p["flag"].n_distinct) == (3, 2**60 + 1, 2)
 
 
+def test_profile_query_has_every_column(spark, data):
+    got = {tuple(r) for r in problems.p3_profile(spark, data).select("table_name", "column_name").distinct().collect()}
+    assert got == {(t, c) for t in ("exposure", "answers") for c in table(spark, data, t).columns if c != "load_no"}
+
+
 def test_profile_of_nothing(spark):
     empty = spark.createDataFrame([], "load int, v double, n string")
     p = profile(empty, "load", ["v", "n"])

@@ -25,8 +25,9 @@ EXPOSURE_RULES = {
     "poverty_rate_pct_year": Rule(pattern=YEAR),
 }
 ANSWER_RULES = {"null_excluded": Rule(low=0, high=1_000)}
-EXPOSURE_COLUMNS = ["nuts_id", "country", "total_pop", "cells_counted", "hazard_coverage", "exposed_pop", "return_period", "share_over_65", "share_over_65_year", "poverty_rate_pct", "poverty_rate_pct_year", "poverty_rate_pct_level"]
-ANSWER_COLUMNS = ["key_name", "return_period", "defaulted_return_period", "matched", "null_excluded", "provider", "fallback_reason"]
+#: Every column but the load key.
+EXPOSURE_COLUMNS = ["loaded_at", "nuts_id", "region", "country", "country_name", "total_pop", "cells_counted", "hazard_coverage", "exposed_pop", "return_period", "annual_probability", "share_over_65", "share_over_65_year", "poverty_rate_pct", "poverty_rate_pct_year", "poverty_rate_pct_level"]
+ANSWER_COLUMNS = ["answer_id", "asked_at", "spec", "key_name", "return_period", "defaulted_return_period", "matched", "null_excluded", "provider", "fallback_reason"]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
