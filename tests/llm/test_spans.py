@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from tidemark.llm import spans
+from tidemark.llm import queries, spans
 from tidemark.llm.spans import SpanIndex, rolling, select_fingerprints, window_hashes
 
 SPAN, GRAM = 20, 9
@@ -119,3 +120,19 @@ def test_a_common_footer_is_one_set(spark):
     shared = index.shared(df)
     assert shared.pairs(7).count() == 60 * 59 // 2
     assert {r.n_docs for r in shared.spans().collect()} == {60}
+
+
+def test_query_meets_a_compacted_run(spark, data, monkeypatch):
+    """The last batch is joined with a compacted run, and the runs that went into it leave no files."""
+    seen, add = [], SpanIndex.add_batch
+
+    def watched(self, docs):
+        before = list(self.runs)
+        add(self, docs)
+        seen.append(([r.level for r in before], [r.path for r in before if r not in self.runs]))
+
+    monkeypatch.setattr(SpanIndex, "add_batch", watched)
+    queries.shared_spans(spark, data)
+    assert 1 in seen[-1][0]
+    gone = [p for _, paths in seen for p in paths]
+    assert gone and not any(Path(p.removeprefix("file://")).exists() for p in gone)

@@ -18,7 +18,8 @@ from tidemark.sources.tables import table
 INDICATORS = ("exposed_pop", "share_over_65", "share_low_income", "critical_infra_count", "poverty_rate_pct", "pop_density_per_km2")
 RENAMED = {"poverty_rate": "poverty_rate_pct"}
 PIECE_CHARS, OVERLAP_CHARS, CONTAINER_TOKENS, SPAN_CHARS = 900, 100, 4_096, 200
-BATCHES = 3
+#: One batch more than are compacted, so that the last one meets a compacted run.
+BATCHES = SpanIndex.fanout + 1
 
 
 def tokens(text: str = "text") -> Column:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import broadcast_if_small, join_same, new_path, stage
+from tidemark.plans.staging import broadcast_if_small, join_same, new_path, remove, stage
 
 #: Characters that one pass of the hash functions holds at once; longer texts go through in overlapping parts.
 CHUNK = 1 << 18
@@ -174,6 +174,7 @@ class Run:
 
     table: str
     level: int
+    path: str
 
 
 @dataclass
@@ -205,8 +206,9 @@ class SpanIndex:
     def _write(self, postings: DataFrame, level: int) -> Run:
         name = f"span_run_{uuid.uuid4().hex}"
         placed = postings.select("h", "doc", "place").repartition(self.buckets, "h")
-        placed.write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_path(self.spark, name)).saveAsTable(name)
-        return Run(name, level)
+        path = new_path(self.spark, name)
+        placed.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+        return Run(name, level, path)
 
     def _by_hash(self, run: Run) -> DataFrame:
         return self.spark.table(run.table).groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
@@ -231,6 +233,7 @@ class SpanIndex:
             new = self._write(merged, level + 1)
             for run in full:
                 self.spark.sql(f"DROP TABLE {run.table}")
+                remove(self.spark, run.path)
             self.runs = [r for r in self.runs if r.level != level] + [new]
             level += 1
 

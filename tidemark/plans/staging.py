@@ -29,11 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when this process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder; the files of a dropped table stay otherwise."""
     try:
         jvm, context = spark._jvm, spark.sparkContext._jsc
         target = jvm.org.apache.hadoop.fs.Path(path)
