@@ -131,5 +131,12 @@ def test_fill_methods(spark):
         assert (got[1].v_method, got[5].v_method) == ("observed", "observed")
 
 
+def test_interpolation_has_no_gap_limit(spark):
+    rows = [(1, "aa1", 1, 10.0, "x"), (2, "aa1", 11, None, None), (3, "aa1", 21, 30.0, "z"), (4, "aa2", 11, 7.0, "y")]
+    got = filled(spark, rows)[2]
+    assert (got.v, got.v_method, got.v_distance, got.v_donors) == (20.0, "interpolated", 10, 1)
+    assert (got.c, got.c_method) == ("y", "group")
+
+
 def test_fill_nothing(spark):
     assert filled(spark, []) == {}

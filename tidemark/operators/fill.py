@@ -47,8 +47,8 @@ def fill_missing(
     data set's disguises of a missing value are its own affair. Methods, in order of preference:
 
     - ``observed``: the record has a value.
-    - ``interpolated`` (numbers): the entity has values before and after, at most `max_gap` apart from this time
-      on either side; linear in time. f_distance is the distance to the nearer one.
+    - ``interpolated`` (numbers): the entity has values before and after, however far away; linear in time.
+      f_distance is the distance to the nearer one.
     - ``carried`` (categories): the nearest value of the entity at most `max_gap` away; of two equally near ones
       the earlier.
     - ``group``: mean or most frequent value of the other records of the same group and time; f_distance 0.
@@ -79,7 +79,7 @@ def fill_missing(
         back, ahead = F.col("__time") - prev["at"], after["at"] - F.col("__time")
         nearest = F.when(prev.isNotNull() & (back <= max_gap) & (after.isNull() | (back <= ahead)), F.struct(prev["value"].alias("v"), back.alias("d"))).when(after.isNotNull() & (ahead <= max_gap), F.struct(after["value"].alias("v"), ahead.alias("d")))
         donated = F.when(F.col(f"g_{f}").isNotNull(), F.struct(F.col(f"g_{f}").alias("v"), F.lit(0).cast("bigint").alias("d")))
-        between = F.when((back <= max_gap) & (ahead <= max_gap), F.struct((prev["value"] + (after["value"] - prev["value"]) * back / (back + ahead)).alias("v"), F.least(back, ahead).alias("d"))) if f in numeric else F.lit(None)
+        between = F.when(prev.isNotNull() & after.isNotNull(), F.struct((prev["value"] + (after["value"] - prev["value"]) * back / (back + ahead)).alias("v"), F.least(back, ahead).alias("d"))) if f in numeric else F.lit(None)
         steps = [("interpolated", between), ("group", donated), ("carried", nearest)] if f in numeric else [("carried", nearest), ("group", donated)]
         method, value, distance = F.when(own.isNotNull(), "observed"), F.when(own.isNotNull(), own), F.when(own.isNotNull(), F.lit(0).cast("bigint"))
         for name, source in steps:
