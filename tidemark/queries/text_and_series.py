@@ -225,7 +225,10 @@ def resample_average(spark, d) -> DataFrame:
 
 @query(f"""WITH pt AS (SELECT event_id, {_XY} FROM events), g AS (SELECT floor(x / 5 + 0.5)::BIGINT AS ix, floor(y / 5 + 0.5)::BIGINT AS iy, max(event_id) AS v FROM pt WHERE event_id % 3 = 0 GROUP BY ALL) SELECT event_id, v AS threshold FROM pt LEFT JOIN g ON ix = floor(x / 5 + 0.5)::BIGINT AND iy = floor(y / 5 + 0.5)::BIGINT""")
 def nearest_cell_join(spark, d) -> DataFrame:
-    """The value of the cell that a point lies nearest to."""
+    """The value of the cell that a point lies nearest to.
+
+    Only every third event makes a cell, by its id as in the SQL, so that the grid has holes; points there get NULL.
+    """
     p = _points(spark, d)
     step = lambda c: (F.floor(F.col(c) / 5.0 + 0.5) * 5.0).alias(c)
     cells = p.where(F.col("event_id") % 3 == 0).groupBy(step("x"), step("y")).agg(F.max("event_id").alias("threshold"))
