@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.ordered import carried, running_sum
-from tidemark.plans.staging import broadcast_if_small, join_same, stage
+from tidemark.plans.ordered import carried, count_up_to, numbered, quantiles, running_sum
+from tidemark.plans.staging import NoSharedFolder, join_same, measured_side, shared_dir, stage
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +47,47 @@ def test_empty(spark):
 
 
 def test_broadcast_only_below_its_bound(spark):
-    small, large = spark.range(10), spark.range(11)
-    plan = lambda df: df.join(broadcast_if_small(df, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan(small) and "broadcast" not in plan(large)
+    """By bytes, not rows: one long text is over a bound that many numbers keep to."""
+    plan = lambda df, most: spark.range(10).join(measured_side(df, memory_bytes=most), "id")._jdf.queryExecution().optimizedPlan().toString()
+    numbers, text = spark.range(1_000), spark.range(1).withColumn("t", F.lit("x" * 100_000))
+    assert "strategy=broadcast" in plan(numbers, 50_000) and "strategy=broadcast" not in plan(text, 50_000)
+    assert "strategy=broadcast" in plan(text, 200_000) and "strategy=broadcast" not in plan(numbers, 5_000)
+    assert "strategy=broadcast" in plan(spark.range(0), 10)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(NoSharedFolder):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/x/"}
+    assert shared_dir(Session()) == "hdfs://shared/x"
+    Session.conf, Context.master = {}, "local[2]"
+    assert shared_dir(Session()).startswith("file:")
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 13])
+def test_quantiles_numbers_and_counts(spark, limit):
+    import statistics
+
+    r = random.Random(5)
+    made = [(g, r.choice([None, r.gauss(0, 9), 1.0]), i) for i, g in enumerate(["a"] * 150 + ["b"] * 3 + [None] * 9)]
+    df = spark.createDataFrame(made, "g string, v double, i int")
+    got = {q.g: q.v for q in quantiles(df, ["g"], {"v": F.col("v"), "none": F.lit(None)}, [0.25, 0.5, 0.75], limit).collect()}
+    for g in {g for g, v, _ in made if v is not None}:
+        seen = [v for h, v, _ in made if h == g and v is not None]
+        assert got[g] == pytest.approx(statistics.quantiles(seen, n=4, method="inclusive") if len(seen) > 1 else seen * 3)
+    assert {x.i: x.number for x in numbered(df, ["g"], ["i"], rows_per_bucket=limit).collect()} == {i: 1 + sum(h == g and j < i for h, _, j in made) for g, _, i in made}
+    upto = {x.i: x.c for x in count_up_to(df, ["g"], "v", "c", limit).collect()}
+    assert upto == {i: None if v is None else sum(h == g and w is not None and w <= v for h, w, _ in made) for g, v, i in made}
 
 
 def test_null_keys_meet(spark):

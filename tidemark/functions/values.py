@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.staging import measured_side
+
 
 def measured(column: Column | str, kind: T.DataType | None = None) -> Column:
     """The value, or NULL where it is NaN."""
@@ -54,9 +56,15 @@ def row_hash(columns: Sequence[Column], seed: int = 0) -> Column:
 def distinct_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Columns `keep` of the distinct rows of `df`; rows count as equal if all their columns are, NaN equal to NaN.
 
-    Only `keep` and a fingerprint of 128 bits of the whole row are shuffled. Names that clash with the
-    fingerprint's own are not expected; all others are carried as they are.
+    Rows are known by fingerprints of 128 bits of all their columns. Those that occur again are found on the
+    fingerprints alone, counted before the shuffle; of these rows one each is kept, and all others pass without being
+    shuffled. Names that clash with the fingerprint's own are not expected; all others are carried as they are.
     """
     everything = [hashable(df, c) for c in df.columns]
-    marked = df.select(*(F.col(f"`{c}`") for c in keep), row_hash(everything).alias("__fp_a"), row_hash(everything[::-1], 1).alias("__fp_b"))
-    return marked.groupBy(*(F.col(f"`{c}`") for c in keep), "__fp_a", "__fp_b").agg(F.lit(1).alias("__one")).select(*(F.col(f"`{c}`") for c in keep))
+    kept = [F.col(f"`{c}`") for c in keep]
+    marked = df.select(*kept, row_hash(everything).alias("__fp_a"), row_hash(everything[::-1], 1).alias("__fp_b"))
+    again = marked.groupBy("__fp_a", "__fp_b").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    again = measured_side(again, "repeats")
+    single = marked.join(again, ["__fp_a", "__fp_b"], "left_anti").select(*kept)
+    one = marked.join(again, ["__fp_a", "__fp_b"], "left_semi").dropDuplicates(["__fp_a", "__fp_b"]).select(*kept)
+    return single.unionByName(one)

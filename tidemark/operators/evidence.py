@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.staging import broadcast_if_small, join_same, stage
+from tidemark.plans.staging import join_same, measured_side, stage
 
 #: Words that don't count, thresholds of the gate, and the parameters of BM25.
 STOPWORDS = """
@@ -70,15 +70,15 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
     sized = docs.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__t")).withColumn("length", F.size("__t"))
     exploded = sized.select(key, "length", F.explode(F.array_append("__t", F.lit(None).cast("string"))).alias("term"))
     marked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(None,)], "term string")).distinct()
-    kept = stage(join_same(exploded, broadcast_if_small(marked), ["term"], "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    kept = stage(join_same(exploded, measured_side(marked, "terms"), ["term"], "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     totals = kept.where("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
     postings = kept.where("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(totals)).select("term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")  # totals are one row
     norm = 1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    weighted = wanted.join(broadcast_if_small(idf), "term")
-    scored = postings.join(broadcast_if_small(weighted), "term").groupBy(query, key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    weighted = measured_side(wanted.join(idf, "term"), "weights")
+    scored = postings.join(weighted, "term").groupBy(query, key).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("n_terms"))
     line = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), key)
     best = scored.where("score > 0").withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
     return best.join(asked.select(query, F.size(F.array_distinct("asked")).alias("n_asked")), query).select(query, key, "score", "rank", F.try_divide(F.col("n_terms").cast("double"), F.col("n_asked").cast("double")).alias("coverage"))

@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import distinct_rows
 from tidemark.plans.ordered import ROWS_PER_BUCKET, carried
-from tidemark.plans.staging import broadcast_if_small, join_same, stage
+from tidemark.plans.staging import measured_side, stage
 
 
-def _most_frequent(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """By keys, the most frequent value of each field (of equally frequent ones the smallest) and its number of values; counted before it is compared, so a hot key is reduced first."""
-    long = df.select(*keys, F.inline(F.array(*(F.struct(F.lit(f).alias("__f"), F.col(f).alias("__v")) for f in fields)))).filter("__v IS NOT NULL")
-    counted = long.groupBy(*keys, "__f", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    # the largest count, then the smallest text: min over (-count, text)
-    best = counted.groupBy(*keys).agg(
-        *(F.min(F.when(F.col("__f") == f, F.struct(-F.col("__n"), F.col("__v").alias("v")))).alias(f"__b_{f}") for f in fields),
-        *(F.sum(F.when(F.col("__f") == f, F.col("__n")).otherwise(0)).alias(f"__n_{f}") for f in fields),
-    )
-    return best.select(*keys, *(F.col(f"__b_{f}.v").alias(f) for f in fields), *(F.col(f"__n_{f}").alias(f"n_{f}") for f in fields))
+def _summary(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], prefix: str = "") -> DataFrame:
+    """By keys, mean or most frequent value of each field (of equally frequent ones the smallest), and n_f, its number of values.
 
-
-def _summary(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """By keys, mean or most frequent value of each field and n_f, its number of values."""
-    means = df.groupBy(*keys).agg(*(F.avg(f).alias(f) for f in numeric), *(F.count(f).alias(f"n_{f}") for f in numeric))
-    return join_same(means, _most_frequent(df, keys, categorical), keys, "left") if categorical else means
+    All fields are counted by value in one pass, so a hot key, and a category with many values, are reduced before
+    any key is brought together; a number needs only its sum and count there. Then one small grouping by the keys.
+    """
+    value = lambda f: F.struct(F.lit(f).alias("__f"), F.col(f).cast("string").alias("__v"), F.lit(None).cast("double").alias("__x"))
+    number = lambda f: F.struct(F.lit(f).alias("__f"), F.lit(None).cast("string").alias("__v"), F.col(f).cast("double").alias("__x"))
+    here = F.struct(F.lit(None).cast("string").alias("__f"), F.lit(None).cast("string").alias("__v"), F.lit(None).cast("double").alias("__x"))  # keeps keys without any value
+    long = df.select(*keys, F.inline(F.array(here, *map(number, numeric), *map(value, categorical)))).where("__f IS NULL OR __v IS NOT NULL OR __x IS NOT NULL")
+    counted = long.groupBy(*keys, "__f", "__v").agg(F.sum("__x").alias("__x"), F.count(F.lit(1)).alias("__n"))
+    mine = lambda f, c: F.when(F.col("__f") == f, c)
+    n = lambda f: F.coalesce(F.sum(mine(f, F.col("__n"))), F.lit(0)).alias(f"n_{f}")
+    mean = lambda f: F.try_divide(F.sum(mine(f, F.col("__x"))), F.sum(mine(f, F.col("__n")))).alias(f"{prefix}{f}")
+    # the largest count, then the smallest text
+    mode = lambda f: F.min(mine(f, F.struct(-F.col("__n"), F.col("__v").alias("v"))))["v"].alias(f"{prefix}{f}")
+    return counted.groupBy(*keys).agg(*map(mean, numeric), *map(mode, categorical), *map(n, [*numeric, *categorical]))
 
 
 def fill_missing(
@@ -65,13 +66,13 @@ def fill_missing(
     slim = distinct_rows(df, keep).select(F.col(record).alias("__record"), F.col(entity).alias("__entity"), F.col(time).alias("__time"), group.alias("__group"), *(c.alias(f) for f, c in (dict(numeric) | dict(categorical)).items()))
     rows = stage(slim, "fill_rows")
     placed = rows.filter("__entity IS NOT NULL AND __time IS NOT NULL")
-    series = _summary(placed, ["__entity", "__time"], list(numeric), list(categorical))
-    sizes = placed.groupBy("__entity").agg(F.count(F.lit(1)).alias("rows"))
+    series = stage(_summary(placed, ["__entity", "__time"], list(numeric), list(categorical)), "series")
+    sizes = series.groupBy("__entity").agg(F.count(F.lit(1)).alias("rows"))
     near = carried(series.select("__entity", "__time", *fields), ["__entity"], "__time", fields, sizes, rows_per_bucket)
     near = near.select("__entity", "__time", *(f"prev_{f}" for f in fields), *(f"next_{f}" for f in fields))
-    donors = _summary(rows.filter("__group IS NOT NULL AND __time IS NOT NULL"), ["__group", "__time"], list(numeric), list(categorical))
-    donors = donors.select("__group", "__time", *(F.col(f).alias(f"g_{f}") for f in fields), *(F.coalesce(f"n_{f}", F.lit(0)).alias(f"d_{f}") for f in fields))
-    full = join_same(join_same(rows, near, ["__entity", "__time"], "left"), broadcast_if_small(donors, 50_000), ["__group", "__time"], "left")
+    donors = _summary(rows.filter("__group IS NOT NULL AND __time IS NOT NULL"), ["__group", "__time"], list(numeric), list(categorical), "g_")
+    donors = measured_side(donors.withColumnsRenamed({f"n_{f}": f"d_{f}" for f in fields}), "donors")
+    full = rows.join(near, ["__entity", "__time"], "left").join(donors, ["__group", "__time"], "left")  # NULL keys have neither
 
     out = [F.col("__record").alias(record)]
     for f in fields:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import measured, safe_ratio
-from tidemark.plans.staging import broadcast_if_small, stage
+from tidemark.plans.staging import measured_side, stage
 
 #: The ellipsoid GRS 80, the origin of the equal-area projection of Europe (3035), and the radius of Mollweide's sphere.
 SEMI_MAJOR, FLATTENING = 6_378_137.0, 1 / 298.257222101
@@ -53,7 +53,7 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, size: float, x: str = "x", y: str = "y", how: str = "inner") -> DataFrame:
     """`points` with the key of every polygon they lie in; with how="left", NULL for those in none."""
-    edges = broadcast_if_small(polygon_edges(polygons, key, size), 50_000)
+    edges = measured_side(polygon_edges(polygons, key, size), "edges")
     bx, by = buckets(F.col(x), F.col(y), size)
     joined = points.withColumns({"__bx": bx, "__by": by}).join(edges, (F.col("__bx") == F.col("bx")) & (F.col("__by") == F.col("by")) & inside(F.col("edges"), F.col(x), F.col(y)), how)
     return joined.drop("__bx", "__by", "bx", "by", "edges")

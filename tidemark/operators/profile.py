@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import distinct_rows, safe_ratio
-from tidemark.plans.ordered import ROWS_PER_BUCKET, running_sum
-from tidemark.plans.staging import broadcast_if_small, join_same, stage
+from tidemark.plans.ordered import ROWS_PER_BUCKET, quantiles_of_counts
+from tidemark.plans.staging import join_same, measured_side, stage
 
 QUARTILES = (0.25, 0.5, 0.75)
+DECILES = tuple(i / 10 for i in range(1, 10))
+#: Whole numbers with at most so many different values in the load before are compared value by value and not by classes.
+FEW_VALUES = 20
 
 
 @dataclass(frozen=True)
@@ -76,11 +79,11 @@ def value_counts(df: DataFrame, load: str, columns: Sequence[str], rules: Mappin
     rules = rules or {}
     keep = list(dict.fromkeys([load, *columns, *(b for r in rules.values() for b in r.needs())]))
     rows = distinct_rows(df, keep) if repeats_once else df.select(*(F.col(f"`{c}`") for c in keep))
-    items = F.array(*(F.struct(F.lit(c).alias("column_name"), *(v.alias(k) for k, v in _slots(df, c).items()), _outside(df, c, rules.get(c)).alias("outside")) for c in columns))
+    items = F.array(*(F.struct(F.lit(i).alias("__column"), *(v.alias(k) for k, v in _slots(df, c).items()), _outside(df, c, rules.get(c)).alias("outside")) for i, c in enumerate(columns)))
     long = rows.select(F.col(f"`{load}`").alias("__load"), F.inline(items))
-    counts = long.groupBy("__load", "column_name", "num", "whole", "txt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("bigint")).alias("n_outside"))
-    return counts.withColumnRenamed("__load", load)
-
+    counts = long.groupBy("__load", "__column", "num", "whole", "txt").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"))
+    name = F.get(F.array(*(F.lit(c) for c in columns)), F.col("__column"))  # a number is shuffled, not the name
+    return counts.select(F.col("__load").alias(load), name.alias("column_name"), "num", "whole", "txt", "n", "n_outside")
 
 
 def _nan() -> Column:
@@ -115,25 +118,16 @@ def column_stats(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None
     )
 
 
-def exact_quantiles(counts: DataFrame, load: str, stats: DataFrame, probs: Sequence[float] = QUARTILES, sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def exact_quantiles(counts: DataFrame, load: str, stats: DataFrame, probs: Sequence[float] = QUARTILES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row (`load`, column_name, quantiles ARRAY<DOUBLE>) per load and numeric column with a measured value.
 
     Linear interpolation between the neighbouring ranks. Ranks come from running sums over the value counts, in
     buckets where a load is too large for one task, so no group is ever gathered.
     """
-    numeric = counts.filter((F.col("num").isNotNull() & ~_nan()) | F.col("whole").isNotNull()).withColumn("__v", F.coalesce("num", F.col("whole").cast("double")))
-    values = numeric.groupBy(load, "column_name", "__v").agg(F.sum("n").alias("n"))
-    ranked = running_sum(values, [load, "column_name"], ["__v"], "n", "__below", sizes, rows_per_bucket)
-    total = stats.select(load, "column_name", (F.col("n_rows") - F.col("n_null") - F.col("n_nan")).alias("__total"))
-    placed = join_same(ranked, broadcast_if_small(total), [load, "column_name"])
-    at = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col("n")), F.col("__v")))
-    picks = []
-    for i, p in enumerate(probs):
-        position = F.lit(p) * (F.col("__total") - 1)
-        picks += [at(F.floor(position)).alias(f"__lo_{i}"), at(F.ceil(position)).alias(f"__hi_{i}"), F.max(position - F.floor(position)).alias(f"__part_{i}")]
-    wide = placed.groupBy(load, "column_name").agg(*picks)
-    mixed = [F.col(f"__lo_{i}") + (F.col(f"__hi_{i}") - F.col(f"__lo_{i}")) * F.col(f"__part_{i}") for i in range(len(probs))]
-    return wide.select(load, "column_name", F.array(*mixed).alias("quantiles"))
+    numeric = counts.filter((F.col("num").isNotNull() & ~_nan()) | F.col("whole").isNotNull())
+    values = numeric.select(load, "column_name", F.coalesce("num", F.col("whole").cast("double")).alias("__v"), "n")
+    totals = stats.select(load, "column_name", (F.col("n_rows") - F.col("n_null") - F.col("n_nan")).alias("total"), F.col("n_distinct").alias("rows"))
+    return quantiles_of_counts(values, [load, "column_name"], "__v", "n", totals, probs, rows_per_bucket)
 
 
 def profile(df: DataFrame, load: str, columns: Sequence[str], rules: Mapping[str, Rule] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -142,15 +136,19 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], rules: Mapping[str
     An empty table gives no rows; a column that is always NULL has n_distinct 0 and NULL ranges; loads that are
     NULL form a load of their own. Extra columns are ignored but for telling repeats from rows that differ.
     """
-    sizes = df.groupBy(F.col(load)).agg(F.count(F.lit(1)).alias("rows"))
     counts = stage(value_counts(df, load, columns, rules), "value_counts")
-    return profile_of_counts(counts, load, rules, sizes, rows_per_bucket)
+    return profile_of_counts(counts, load, rules, rows_per_bucket=rows_per_bucket)
 
 
-def profile_of_counts(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None, sizes: DataFrame | None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def profile_of_counts(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None, classes: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """column_stats with `quantiles`, the quartiles; with `classes` also `edges`, the deciles that drift compares by."""
     stats = stage(column_stats(counts, load, rules), "column_stats")
-    quantiles = exact_quantiles(counts, load, stats, QUARTILES, sizes, rows_per_bucket)
-    return join_same(stats, quantiles, [load, "column_name"], "left")
+    probs = [*QUARTILES, *DECILES] if classes else QUARTILES
+    found = exact_quantiles(counts, load, stats, probs, rows_per_bucket)
+    if classes:
+        edges = F.array_distinct(F.slice("quantiles", len(QUARTILES) + 1, len(DECILES)))
+        found = found.select(load, "column_name", F.slice("quantiles", 1, len(QUARTILES)).alias("quantiles"), edges.alias("edges"))
+    return join_same(stats, found, [load, "column_name"], "left")
 
 
 def findings(profiled: DataFrame, load: str, null_step: float = 0.10, distinct_factor: float = 2.0, shift_factor: float = 1.5) -> DataFrame:
@@ -177,27 +175,35 @@ def findings(profiled: DataFrame, load: str, null_step: float = 0.10, distinct_f
     return seen.select(load, "column_name", F.explode(cases).alias("finding"))
 
 
-def drift(counts: DataFrame, load: str, profiled: DataFrame, bins: Sequence[float] | None = None) -> DataFrame:
-    """Population stability index and chi-square of each load and column against the load before.
+def drift(counts: DataFrame, load: str, profiled: DataFrame) -> DataFrame:
+    """Population stability index and chi-square of each load and column against the load with the next lower number.
 
-    Texts and whole numbers of few values are compared value by value, numbers by the quartiles of the load
-    before; missing values are a class of their own. Both sides are tagged and summed in one grouping. A class
-    absent on one side counts as half a row there, as is usual for the index. Columns are (`load`, column_name,
-    n_classes, psi, chi_square).
+    Classes are those of the load before: texts are compared value by value, and so are whole numbers that had at most
+    FEW_VALUES different ones there; other numbers by its deciles (`edges` of profile_of_counts; with a plain profile
+    its quartiles), equal ones being one edge. A value v falls into the class of the edges below it. Missing values are a
+    class of their own, and so are numbers in a column that had none measured before. Both sides are tagged and
+    summed in one grouping. A class absent on one side counts as half a row there, as is usual for the index.
+    Columns are (`load`, column_name, n_classes, psi, chi_square); the first load and loads that are NULL have no row.
     """
+    edges = "edges" if "edges" in profiled.columns else "quantiles"
     numbers = profiled.select(load).distinct().filter(F.col(load).isNotNull())
-    steps = broadcast_if_small(numbers.select(F.col(load).alias("__at"), F.lead(load).over(Window.orderBy(load)).alias("__next"), (F.row_number().over(Window.orderBy(load)) == 1).alias("__first")))
-    tagged = counts.join(steps, F.col(load) == F.col("__at")).select(
-        "column_name", "num", "whole", "txt", "n",
-        F.inline(F.filter(F.array(F.struct(F.when(~F.col("__first"), F.col("__at")).alias("step"), F.lit(True).alias("now")), F.struct(F.col("__next").alias("step"), F.lit(False).alias("now"))), lambda s: s["step"].isNotNull())),
-    )
-    previous = profiled.select(F.col(load), "column_name", "quantiles").join(steps.withColumnRenamed("__next", "step"), F.col(load) == F.col("__at")).select(F.col("step").alias("__s"), F.col("column_name").alias("__c"), F.col("quantiles").alias("edges")).filter("__s IS NOT NULL")
-    edged = tagged.join(broadcast_if_small(previous), (F.col("step") == F.col("__s")) & (F.col("column_name") == F.col("__c")), "left")
+    line = Window.orderBy(load)  # one row a load
+    steps = measured_side(numbers.select(F.col(load).alias("__at"), F.lead(load).over(line).alias("__next"), (F.row_number().over(line) == 1).alias("__first")), "steps")
+    sides = F.array(F.struct(F.when(~F.col("__first"), F.col("__at")).alias("step"), F.lit(True).alias("now")), F.struct(F.col("__next").alias("step"), F.lit(False).alias("now")))
+    tagged = counts.join(steps, F.col(load) == F.col("__at")).select("column_name", "num", "whole", "txt", "n", F.inline(F.filter(sides, lambda s: s["step"].isNotNull())))
+    past = profiled.join(steps.withColumnRenamed("__next", "__step"), F.col(load) == F.col("__at")).filter("__step IS NOT NULL")
+    past = past.select(F.col("__step"), F.col("column_name").alias("__c"), F.col(edges).alias("__edges"), (F.col("min_whole").isNotNull() & (F.col("n_distinct") <= FEW_VALUES)).alias("__few"))
+    edged = tagged.join(measured_side(past, "edges"), (F.col("step") == F.col("__step")) & (F.col("column_name") == F.col("__c")), "left")
     value = F.coalesce("num", F.col("whole").cast("double"))
-    label = F.when(_null() | _nan(), "missing").when(F.col("txt").isNotNull(), F.concat(F.lit("="), "txt")).when(F.col("edges").isNotNull(), F.concat(F.lit("bin "), F.size(F.filter("edges", lambda e: e < value)).cast("string"))).otherwise("new")
-    classes = edged.select("step", "column_name", "now", "n", label.alias("label")).groupBy("step", "column_name", "label").agg(F.sum(F.when(F.col("now"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("now"), F.col("n")).otherwise(0)).alias("b"))
+    below = F.size(F.filter("__edges", lambda e: e < value)).cast("string")
+    label = F.when(_null() | _nan(), "missing").when(F.col("txt").isNotNull(), F.concat(F.lit("="), "txt"))
+    label = label.when(F.col("__few") & F.col("whole").isNotNull(), F.concat(F.lit("="), F.col("whole").cast("string"))).when(F.col("__edges").isNotNull(), F.concat(F.lit("above "), below)).otherwise("new")
+    side = lambda now: F.coalesce(F.sum(F.when(F.col("now") == F.lit(now), F.col("n"))), F.lit(0))
+    classes = edged.select("step", "column_name", "now", "n", label.alias("label")).groupBy("step", "column_name", "label").agg(side(True).alias("a"), side(False).alias("b"))
+    classes = stage(classes, "classes")
     totals = classes.groupBy("step", "column_name").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    shares = join_same(classes, broadcast_if_small(totals), ["step", "column_name"])
-    pa, pb = safe_ratio(F.greatest("a", F.lit(0.5)), F.col("ta")), safe_ratio(F.greatest("b", F.lit(0.5)), F.col("tb"))
-    expected = F.greatest("b", F.lit(0.5)) * safe_ratio(F.col("ta"), F.col("tb"))
+    shares = join_same(classes, measured_side(totals, "totals"), ["step", "column_name"])
+    a, b = (F.greatest(c, F.lit(0.5)) for c in ("a", "b"))
+    pa, pb = safe_ratio(a, F.col("ta")), safe_ratio(b, F.col("tb"))
+    expected = b * safe_ratio(F.col("ta"), F.col("tb"))
     return shares.groupBy(F.col("step").alias(load), "column_name").agg(F.count(F.lit(1)).alias("n_classes"), F.sum((pa - pb) * F.ln(pa / pb)).alias("psi"), F.sum((F.col("a") - expected) * (F.col("a") - expected) / expected).alias("chi_square"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import measured
-from tidemark.plans.ordered import running_sum
-from tidemark.plans.staging import broadcast_if_small, join_same
+from tidemark.plans.ordered import numbered, running_sum
+from tidemark.plans.staging import join_same, measured_side, stage
 
 
 def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[str] = ()) -> DataFrame:
@@ -19,14 +19,15 @@ def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[s
     The breaks are values that occur. They are one row per group, joined back; counts by value make the group small first.
     """
     v = measured(F.col(value).cast("double"))
-    counted = df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = broadcast_if_small(counted.groupBy(*by).agg(F.sum("__n").alias("__all")))
-    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below")
+    counted = stage(df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    totals = measured_side(counted.groupBy(*by).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("rows")), "totals")
+    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below", totals)
+    totals = totals.drop("rows")
     ranked = join_same(ranked, totals, by) if by else ranked.crossJoin(totals)  # one row
     ranks = F.array(*(F.greatest(F.ceil(F.lit(i) / classes * F.col("__all")) - 1, F.lit(0)) for i in range(1, classes + 1)))
     chosen = ranked.where(F.exists(ranks, lambda r: (F.col("__below") <= r) & (r < F.col("__below") + F.col("__n"))))
-    breaks = chosen.groupBy(*by).agg(F.sort_array(F.collect_set("__v")).alias("breaks"))
-    joined = df.join(breaks, list(by), "left") if by else df.join(F.broadcast(breaks), F.lit(True), "left")
+    breaks = measured_side(chosen.groupBy(*by).agg(F.sort_array(F.collect_set("__v")).alias("breaks")), "breaks")
+    joined = join_same(df, breaks, by, "left") if by else df.join(F.broadcast(breaks), F.lit(True), "left")
     below = F.size(F.filter("breaks", lambda b: b < v))
     return joined.withColumn("class", F.when(v.isNotNull(), F.least(below, F.size("breaks") - 1)))
 
@@ -36,11 +37,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("__rn", F.row_number().over(line)).where("__rn = 1").drop("__rn")
 
 
-def bottom_share(df: DataFrame, by: Sequence[str], order: Sequence[Column], share: float) -> DataFrame:
-    """The tail of each ranking: rows from place int(n * (1 - share)), counted from 0; `model_rank` counts from 1."""
-    line = Window.partitionBy(*by).orderBy(*order)
-    placed = df.withColumns({"model_rank": F.row_number().over(line), "__n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    return placed.where(F.col("model_rank") > F.floor(F.col("__n") * F.lit(1 - share))).drop("__n")
+def bottom_share(df: DataFrame, by: Sequence[str], score: str, tie: str, share: float, most: int | None = None) -> DataFrame:
+    """The tail of each ranking from the largest `score` down: rows from place int(n * (1 - share)), counted from 0; `model_rank` counts from 1.
+
+    Equal scores are ordered by `tie`, rows without a score come last. With `most`, ValueError if the tail of a ranking has
+    more rows than that: the callers look every one up, so a part of it would pass for the whole. Places come from
+    running counts over buckets of the ranking, so no group is held by one task.
+    """
+    sizes = measured_side(df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    if most is not None and (over := sizes.where(F.col("rows") - F.floor(F.col("rows") * F.lit(1 - share)) > most).first()) is not None:
+        raise ValueError(f"the lower {share:.0%} of {over} are more than {most} rows")
+    down = df.withColumns({"__down": F.coalesce(-measured(F.col(score).cast("double")), F.lit(float("inf")))})
+    placed = numbered(down, by, ["__down", tie], "model_rank", sizes).drop("__down")
+    return join_same(placed, sizes, by).where(F.col("model_rank") > F.floor(F.col("rows") * F.lit(1 - share))).drop("rows")
 
 
 def pivot_counts(df: DataFrame, row: str, column: str, columns: Sequence[object], item: str) -> DataFrame:

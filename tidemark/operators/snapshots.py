@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import row_hash
-from tidemark.plans.staging import broadcast_if_small
+from tidemark.plans.staging import measured_side
 
 
 def snapshot_changes(df: DataFrame, snapshot: str, key: Column, compare: Sequence[Column], version: str | None = None, key_name: str = "key") -> DataFrame:
@@ -25,7 +25,7 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: Column, compare: Sequenc
     """
     present = df.filter(F.col(snapshot).isNotNull())
     numbers = present.select(F.col(snapshot).alias("__at")).distinct()
-    steps = broadcast_if_small(numbers.select("__at", F.lead("__at").over(Window.orderBy("__at")).alias("__next"), (F.row_number().over(Window.orderBy("__at")) == 1).alias("__first")))
+    steps = measured_side(numbers.select("__at", F.lead("__at").over(Window.orderBy("__at")).alias("__next"), (F.row_number().over(Window.orderBy("__at")) == 1).alias("__first")))
     state = F.struct(F.col(version) if version else F.lit(0), row_hash(compare))
     tagged = present.join(steps, F.col(snapshot).eqNullSafe(F.col("__at"))).select(
         key.alias("__key"),

@@ -1,4 +1,4 @@
-"""Running sums and carried values over ordered groups of any size.
+"""Running sums, numbers, ranks, quantiles and carried values over ordered groups of any size.
 
 A plain window puts a whole group into one task. Here a group above `rows_per_bucket` rows is first cut, by the
 quantiles of its own order column, into consecutive buckets; windows run within a bucket, and a second, tiny
@@ -9,12 +9,12 @@ is the same whether a group is cut or not.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import broadcast_if_small, join_same
+from tidemark.plans.staging import join_same, measured_side, stage
 
 #: Rows of one group that one task may sort.
 ROWS_PER_BUCKET = 1_000_000
@@ -27,20 +27,20 @@ def bucketed(df: DataFrame, group: Sequence[str], order: str, sizes: DataFrame |
     """`df` with a bucket number per row, rising with `order` within `group`; and whether any group was cut.
 
     `sizes` may hold the columns of `group`, or some of them, and a column `rows` that is an upper bound of the
-    group's rows; a cheap count of the raw table does. Rows with equal `order` always share a bucket.
+    group's rows; a cheap count of the raw table does. Other columns of it are ignored. Rows with equal `order` always share a bucket.
     """
     if sizes is None:
         sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    keys = [c for c in sizes.columns if c != "rows"]
+    keys = [c for c in sizes.columns if c in group]
     hot = sizes.filter(F.col("rows") > rows_per_bucket)
     largest = hot.agg(F.max("rows").alias("m")).first()["m"]
     if largest is None:
         return df.withColumn(BUCKET, F.lit(0)), False
     n = min(MAX_BUCKETS, math.ceil(largest / rows_per_bucket))
     marks = [i / n for i in range(1, n)]
-    inside = join_same(df, broadcast_if_small(hot.select(*keys)), keys, "left_semi") if keys else df
+    inside = join_same(df, measured_side(hot.select(*keys), "hot"), keys, "left_semi") if keys else df
     cuts = inside.groupBy(*group).agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), marks, 20 * n)).alias("__cuts"))
-    with_cuts = join_same(df, broadcast_if_small(cuts, 2_000), group, "left") if group else df.crossJoin(F.broadcast(cuts))  # one row
+    with_cuts = join_same(df, measured_side(cuts, "cuts"), group, "left") if group else df.crossJoin(F.broadcast(cuts))  # one row
     below = F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double")))
     return with_cuts.withColumn(BUCKET, F.when(F.col("__cuts").isNull(), 0).otherwise(below)).drop("__cuts"), True
 
@@ -58,10 +58,58 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value
         across = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         totals = parts.groupBy(*group, BUCKET).agg(F.sum(value).alias("__bucket_total"))
         offsets = totals.withColumn("__bucket_offset", F.coalesce(F.sum("__bucket_total").over(across), F.lit(0))).filter("__bucket_offset <> 0").drop("__bucket_total")
-        parts = join_same(parts, broadcast_if_small(offsets), [*group, BUCKET], "left").withColumn(out, F.col(out) + F.coalesce("__bucket_offset", F.lit(0))).drop("__bucket_offset")
+        parts = join_same(parts, measured_side(offsets, "offsets"), [*group, BUCKET], "left").withColumn(out, F.col(out) + F.coalesce("__bucket_offset", F.lit(0))).drop("__bucket_offset")
     return parts.drop(BUCKET)
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "number", sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """`df` with `out`, the place of each row in its group from 1; `order` as for running_sum."""
+    counted = running_sum(df.withColumn("__one", F.lit(1)), group, order, "__one", out, sizes, rows_per_bucket)
+    return counted.drop("__one").withColumn(out, F.col(out) + 1)
+
+
+def count_up_to(df: DataFrame, group: Sequence[str], value: str, out: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """`df` with `out`, the number of rows of the group whose `value` is at most this row's; NULL for a NULL value.
+
+    Rows are counted by value first, so that equal values are one row of the running sum, and the counts come back
+    by an equi-join on group and value.
+    """
+    counts = stage(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    summed = running_sum(counts, group, ["__v"], "__n", "__below", rows_per_bucket=rows_per_bucket)
+    upto = summed.select(*group, "__v", (F.col("__below") + F.col("__n")).alias(out))
+    return join_same(df.withColumn("__v", F.col(value)), upto, [*group, "__v"], "left").drop("__v")
+
+
+def quantiles_of_counts(counts: DataFrame, group: Sequence[str], value: str, n: str, totals: DataFrame, probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(`group`, quantiles ARRAY<DOUBLE>) of a table of value counts, by linear interpolation between the neighbouring ranks.
+
+    `totals` has one row per group with `total`, the sum of its counts, and `rows`, its number of values. Ranks come
+    from running sums over the counts, so no group is gathered; at most two values a probability are kept.
+    """
+    totals = measured_side(totals, "totals")
+    ranked = running_sum(counts, group, [value], n, "__below", totals, rows_per_bucket)
+    placed = join_same(ranked, totals.select(*group, F.col("total").alias("__total")), group) if group else ranked.crossJoin(F.broadcast(totals.select(F.col("total").alias("__total"))))  # one row
+    at = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col(n)), F.col(value)))
+    picks, mixed = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(p) * (F.col("__total") - 1)
+        picks += [at(F.floor(place)).alias(f"__lo_{i}"), at(F.ceil(place)).alias(f"__hi_{i}"), F.max(place - F.floor(place)).alias(f"__part_{i}")]
+        mixed.append(F.col(f"__lo_{i}") + (F.col(f"__hi_{i}") - F.col(f"__lo_{i}")) * F.col(f"__part_{i}"))
+    return placed.groupBy(*group).agg(*picks).select(*group, F.array(*mixed).alias("quantiles"))
+
+
+def quantiles(df: DataFrame, group: Sequence[str], values: Mapping[str, Column], probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """One row per group that has a value, with an ARRAY<DOUBLE> of exact quantiles for each named value; NULL where that has none.
+
+    The values are unpivoted and counted once, whatever their number.
+    """
+    long = df.select(*group, F.inline(F.array(*(F.struct(F.lit(k).alias("__f"), v.cast("double").alias("__v")) for k, v in values.items())))).where("__v IS NOT NULL")
+    counts = stage(long.groupBy(*group, "__f", "__v").agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    totals = counts.groupBy(*group, "__f").agg(F.sum("__n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    found = quantiles_of_counts(counts, [*group, "__f"], "__v", "__n", totals, probs, rows_per_bucket)
+    return found.groupBy(*group).agg(*(F.first(F.when(F.col("__f") == k, F.col("quantiles")), ignorenulls=True).alias(k) for k in values))
+
+
 def carried(df: DataFrame, group: Sequence[str], order: str, fields: Sequence[str], sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """`df` with `prev_f` and `next_f` for each field f: structs (at, value) of the nearest rows of the group before and after that have a value, or NULL.
 
@@ -77,7 +125,7 @@ def carried(df: DataFrame, group: Sequence[str], order: str, fields: Sequence[st
         before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         after = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
         ends = ends.select(*group, BUCKET, *(F.last(f"__l_{f}", ignorenulls=True).over(before).alias(f"__p_{f}") for f in fields), *(F.first(f"__f_{f}", ignorenulls=True).over(after).alias(f"__n_{f}") for f in fields))
-        parts = join_same(parts, broadcast_if_small(ends), [*group, BUCKET], "left")
+        parts = join_same(parts, measured_side(ends, "ends"), [*group, BUCKET], "left")
         parts = parts.withColumns({f"prev_{f}": F.coalesce(f"prev_{f}", f"__p_{f}") for f in fields} | {f"next_{f}": F.coalesce(f"next_{f}", f"__n_{f}") for f in fields})
         parts = parts.drop(*(f"__p_{f}" for f in fields), *(f"__n_{f}" for f in fields))
     return parts.drop(BUCKET)

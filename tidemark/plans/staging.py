@@ -1,4 +1,4 @@
-"""Cutting lineage through the cluster's shared folder, and broadcasts behind a size check."""
+"""Cutting lineage through the cluster's shared folder, and broadcasts of sides whose bytes were measured."""
 
 from __future__ import annotations
 
@@ -9,18 +9,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows that a broadcast side may have; a row here is a key and a few numbers, so this is some tens of MB at most.
-BROADCAST_ROWS = 200_000
+#: Bytes that a broadcast side may have: in files, which is looked at first, and in memory.
+FILE_BYTES, MEMORY_BYTES = 16 << 20, 64 << 20
 
 _own_dir: list[str] = []
 
 
+class NoSharedFolder(RuntimeError):
+    """The executors of a cluster have no folder in common that this session names."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors reach; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors reach.
+
+    Where that is unset, a local session, whose driver is its only executor, gets a folder of its own; on a cluster
+    NoSharedFolder is raised, since every machine would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all executors of {master} reach")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _own_dir[0]
@@ -33,44 +45,68 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder; the files of a dropped table stay otherwise."""
     try:
-        jvm, context = spark._jvm, spark.sparkContext._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context.hadoopConfiguration()).delete(target, True)
+        files, target = _file_system(spark, path)
+        files.delete(target, True)
     except Exception:  # the session is gone already; the cluster's own retention applies
         pass
 
 
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    files, target = _file_system(spark, path)
+    return files.getContentSummary(target).getLength()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as a table in the shared folder and read from there.
 
     The result has no lineage, so a lost executor costs a re-read and not a recomputation, and a table used
     twice is computed once. Unlike Dataset.checkpoint() it does not run the last stage twice and stays columnar.
+    Catalyst knows its bytes, so an equi-join with a small one is planned as a broadcast from the start.
     """
+    return _staged(df, name)[0]
+
+
+def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows, else `df` as it is, for a shuffled join.
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in memory: 8 a field, and what texts and nested values hold."""
+    total = F.lit(16 + 8 * len(schema)).cast("bigint")
+    for f in schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            total = total + 8 * F.greatest(F.size(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
 
-    At most rows + 1 rows reach the driver, where they are counted; the caller's join is the same either way.
-    """
-    head = df.limit(rows + 1).toArrow()
-    if head.num_rows > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
+def measured_side(df: DataFrame, name: str = "side", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+    """`df` staged, as one side of a join: broadcast if its rows take at most `memory_bytes`, else merged after a shuffle.
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality of `columns` on both sides under which NULL equals NULL."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+    The files' own size is looked at first, so nothing large is counted; then the executors add up the rows' bytes.
+    The driver sees two numbers. The join's result is the same either way.
+    """
+    staged, path = _staged(df, name)
+    if written_bytes(df.sparkSession, path) <= FILE_BYTES:
+        total = staged.agg(F.sum(row_bytes(staged.schema)).alias("b")).first()["b"] or 0
+        if total <= memory_bytes:
+            return F.broadcast(staged)
+    return staged.hint("merge")
 
 
 def join_same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:

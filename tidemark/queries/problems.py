@@ -51,10 +51,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, columns, rules in (("exposure", EXPOSURE_COLUMNS, EXPOSURE_RULES), ("answers", ANSWER_COLUMNS, ANSWER_RULES)):
-        source = table(spark, d, name)
-        sizes = source.groupBy("load_no").agg(F.count(F.lit(1)).alias("rows"))
-        counts = stage(value_counts(source, "load_no", columns, rules), "value_counts")
-        profiled = stage(profile_of_counts(counts, "load_no", rules, sizes), "profile")
+        counts = stage(value_counts(table(spark, d, name), "load_no", columns, rules), "value_counts")
+        profiled = stage(profile_of_counts(counts, "load_no", rules, classes=True), "profile")
         moved = drift(counts, "load_no", profiled)
         joined = profiled.join(moved, ["load_no", "column_name"], "left")
         q = lambda i: F.try_element_at("quantiles", F.lit(i))

@@ -364,7 +364,7 @@ def quantile_classes(spark, d) -> DataFrame:
 @query("SELECT p_brand, p_partkey, rn AS model_rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE rn > floor(n * 0.5)")
 def blind_spots_bottom_share(spark, d) -> DataFrame:
     """The lower half of each ranking."""
-    return shaping.bottom_share(table(spark, d, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 0.5).select("p_brand", "p_partkey", "model_rank")
+    return shaping.bottom_share(table(spark, d, "part"), ["p_brand"], "p_retailprice", "p_partkey", 0.5).select("p_brand", "p_partkey", "model_rank")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")

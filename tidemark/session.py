@@ -16,11 +16,14 @@ SETTINGS = {
 }
 
 
-def session(app: str = "tidemark", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with SETTINGS; `extra` overrides, with dots written as double underscores."""
+def session(app: str = "tidemark", master: str | None = None, shared: str | None = None, **extra: str) -> SparkSession:
+    """A session with SETTINGS; `shared` is the folder for staged tables, which all executors must reach, and is needed
+    on a cluster whose own settings don't name one (spark.checkpoint.dir). `extra` overrides, with dots written as double underscores."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in extra.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
