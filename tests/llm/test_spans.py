@@ -98,7 +98,7 @@ def test_runs_are_joined_without_a_shuffle(spark):
     index = SpanIndex(spark, SPAN, GRAM, buckets=3)
     for b in range(2):
         index.add_batch(df.where(f"doc % 2 = {b}"))
-    a, b = (index._by_hash(r) for r in index.runs)
+    a, b = (spark.table(r.table) for r in index.runs)
     plan = a.join(b.withColumnsRenamed({"low": "l2", "high": "h2"}).hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
@@ -124,15 +124,46 @@ def test_a_common_footer_is_one_set(spark):
 
 def test_query_meets_a_compacted_run(spark, data, monkeypatch):
     """The last batch is joined with a compacted run, and the runs that went into it leave no files."""
-    seen, add = [], SpanIndex.add_batch
+    seen, take_in = [], SpanIndex._take_in
 
-    def watched(self, docs):
+    def watched(self, path):
         before = list(self.runs)
-        add(self, docs)
-        seen.append(([r.level for r in before], [r.path for r in before if r not in self.runs]))
+        take_in(self, path)
+        seen.append(([r.level for r in before], [r.heads for r in before if r not in self.runs]))
 
-    monkeypatch.setattr(SpanIndex, "add_batch", watched)
+    monkeypatch.setattr(SpanIndex, "_take_in", watched)
+    tables = spark.catalog.listTables()
     queries.shared_spans(spark, data)
     assert 1 in seen[-1][0]
     gone = [p for _, paths in seen for p in paths]
     assert gone and not any(Path(p.removeprefix("file://")).exists() for p in gone)
+    assert spark.catalog.listTables() == tables
+
+
+def test_a_later_session_goes_on(spark, tmp_path):
+    """Two batches by one index, three by others that open its folder; the same pairs as all at once."""
+    texts = corpus(8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
+    folder = f"file://{tmp_path}/index"
+    for batch in ((0, 1), (2,), (3, 4)):
+        index = SpanIndex(spark, SPAN, GRAM, buckets=3, fanout=2, folder=folder)
+        assert [r.level for r in index.runs] == {0: [], 2: [1], 3: [1, 0]}[batch[0]]
+        for b in batch:
+            index.add_batch(df.where(f"doc % 5 = {b}"))
+        if batch[-1] < 4:
+            index.close()
+    assert {tuple(r) for r in index.shared(df).pairs().collect()} == truth(texts)[0]
+    with pytest.raises(ValueError):
+        SpanIndex(spark, SPAN + 1, GRAM, folder=folder)
+    index.close()
+    assert len([n for n in (tmp_path / "index").iterdir() if n.name.startswith("manifest-")]) == 1
+
+
+def test_batches_in_one_pass(spark):
+    texts = corpus(4)
+    df = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc bigint, text string, batch int")
+    index = SpanIndex(spark, SPAN, GRAM, fanout=2)
+    index.add_batches(df, "batch", 5)
+    shared = index.shared(df.drop("batch"))
+    index.close()
+    assert {tuple(r) for r in shared.pairs().collect()} == truth(texts)[0]

@@ -11,7 +11,7 @@ from tidemark.llm.packing import fill_containers
 from tidemark.llm.ranking import leading_group, rank_bounds, rank_items
 from tidemark.llm.spans import Shared, SpanIndex
 from tidemark.llm.splitting import plan_pieces, split_texts
-from tidemark.plans.staging import broadcast_if_small, stage
+from tidemark.plans.staging import join_same, stage
 from tidemark.sources.tables import table
 
 #: The indicators that may be asked for, the old name of one, and the sizes of problems 4, 6 and 8.
@@ -36,19 +36,19 @@ def ranking_input(spark: SparkSession, d: str) -> DataFrame:
     asked = requests.select("request_id", F.array_distinct(named).alias("asked"), "perturbation", "top_n").distinct()
     units = table(spark, d, "vulnerability_units")
     latest = units.groupBy("request_id", "lau_id").agg(F.max(F.struct("computed_at", *INDICATORS)).alias("u"))
-    joined = latest.join(broadcast_if_small(asked), "request_id")
+    joined = latest.join(asked, "request_id")
     return stage(joined.select("request_id", "lau_id", "perturbation", "top_n", *(F.when(F.array_contains("asked", c), measured(F.col(f"u.{c}").cast("double"))).alias(c) for c in INDICATORS)), "ranking_input")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     items = ranking_input(spark, d)
-    ranked = rank_items(items, ["request_id"], "lau_id", INDICATORS, perturbation="perturbation")
+    ranked = rank_items(items, ["request_id"], "lau_id", INDICATORS, unique=True)
     return leading_group(items, ranked, ["request_id"], "lau_id", INDICATORS, "top_n").select("request_id", "lau_id")
 
 
 def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     items = ranking_input(spark, d)
-    return rank_bounds(rank_items(items, ["request_id"], "lau_id", INDICATORS, perturbation="perturbation"), ["request_id"])
+    return rank_bounds(rank_items(items, ["request_id"], "lau_id", INDICATORS, perturbation="perturbation", unique=True), ["request_id"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,8 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_containers(spark, d).filter("is_split AND part = 0").select("doc_id")
+    """The documents whose parts the packing put into more than one container."""
+    return p6_containers(spark, d).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last")).filter("first <> last").select("doc_id")
 
 
 def mixture(spark: SparkSession, d: str) -> Mixture:
@@ -93,11 +94,11 @@ def shared_spans(spark: SparkSession, d: str) -> tuple[Shared, DataFrame]:
     number = F.lit(0)
     for mark in marks:
         number = number + F.when(F.unix_micros(F.col("published_at").cast("timestamp")) > mark, 1).otherwise(0)
-    batches = documents.select(F.col("doc_id").alias("doc"), "text", number.alias("batch"))
     index = SpanIndex(spark, SPAN_CHARS)
-    for i in range(BATCHES):
-        index.add_batch(batches.filter(F.col("batch") == i).drop("batch"))
-    return index.shared(texts), texts
+    index.add_batches(documents.select(F.col("doc_id").alias("doc"), "text", number.alias("batch")), "batch", BATCHES)
+    shared = index.shared(texts)
+    index.close()  # what is shared stands in tables of its own
+    return shared, texts
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

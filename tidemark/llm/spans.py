@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import broadcast_if_small, join_same, new_path, remove, stage
+from tidemark.plans.staging import join_same, measured_side, new_path, remove, stage
 
 #: Characters that one pass of the hash functions holds at once; longer texts go through in overlapping parts.
 CHUNK = 1 << 18
@@ -157,37 +158,78 @@ def _slices(batches: Iterator[pa.RecordBatch], characters: int = 4 << 20) -> Ite
             low = high
 
 
-def fingerprints(docs: DataFrame, gram: int, span: int) -> DataFrame:
-    """(doc, place, h) of the chosen grams of (doc, text); NULL texts and those under `span` characters have none."""
+def fingerprints(docs: DataFrame, gram: int, span: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(h, doc, place, *carry) of the chosen grams of (doc, text, *carry); NULL texts and those under `span` characters have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             number, place, value = select_fingerprints(batch.column("text").to_pylist(), gram, span)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(number)), pa.array(place.astype(np.int32)), pa.array(value.view(np.int64))], names=["doc", "place", "h"])
+            kept = [batch.column(c).take(pa.array(number)) for c in ("doc", *carry)]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), kept[0], pa.array(place.astype(np.int32)), *kept[1:]], names=["h", "doc", "place", *carry])
 
-    return docs.select("doc", "text").filter(F.length("text") >= span).mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, place int, h bigint")
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    shape = ", ".join(["h bigint", f"doc {kind('doc')}", "place int", *(f"{c} {kind(c)}" for c in carry)])
+    return docs.select("doc", "text", *carry).filter(F.length("text") >= span).mapInArrow(run, shape)
 
 
 @dataclass
 class Run:
-    """One immutable run: a table of (h, doc, place), bucketed by h and sorted by it in each bucket."""
+    """One immutable sorted run, (h, low, high) with the least and largest document of each hash, bucketed by h and sorted by it, and the postings behind it."""
 
-    table: str
     level: int
-    path: str
+    heads: str
+    postings: list[str]
+    table: str = ""
+
+
+class _Folder:
+    """Files of an index below one folder of the file system that all executors reach."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark._jvm
+        self._paths = jvm.org.apache.hadoop.fs.Path
+        self._files = self._paths(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def fresh(self, name: str) -> str:
+        return f"{self.path}/{name}-{uuid.uuid4().hex}"
+
+    def has(self, path: str) -> bool:
+        return self._files.exists(self._paths(path))
+
+    def names(self) -> list[str]:
+        return [f.getPath().getName() for f in self._files.listStatus(self._paths(self.path))] if self.has(self.path) else []
+
+    def write(self, name: str, text: str) -> None:
+        """A whole file or none: written aside and renamed."""
+        aside, target = self._paths(f"{self.path}/.{name}"), self._paths(f"{self.path}/{name}")
+        out = self._files.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._files.rename(aside, target):
+            raise OSError(f"{target} could not be written")
+
+    def read(self, name: str) -> str:
+        source = self._files.open(self._paths(f"{self.path}/{name}"))
+        text = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+        source.close()
+        return text
 
 
 @dataclass
 class SpanIndex:
     """A log-structured index of window hashes for finding shared spans as batches arrive.
 
-    A batch is fingerprinted once and written as a sorted run, in as many buckets as all runs have. Its hashes
-    are merge-joined, bucket by bucket and without a shuffle, with those of every older run; a hash that
-    stands in two documents is noted. `fanout` runs of a level are compacted into one of the next, so a posting
-    is rewritten only once per level. `shared` verifies the noted places on the texts.
+    A batch is fingerprinted once and its postings are written as they come. Their heads, one row (h, low, high) per
+    hash, reduced before the shuffle, are written as a sorted run, in as many buckets as all runs have, and
+    merge-joined bucket by bucket, without a shuffle, with those of every older run; a hash that stands in two
+    documents is noted. `fanout` runs of a level are compacted into one of the next, so a head is rewritten only
+    once per level and a posting never. `shared` verifies the noted places on the texts. A hash that stands in a
+    third of all documents is one head of a run and one row in the joins; its postings are spread over all files.
 
-    Per hash only the least and largest document enter the joins, so a hash that stands in a third of all
-    documents is one row there.
+    With `folder`, a path that all executors reach, the index lasts: a manifest names the runs after every batch, and
+    a later session that opens the folder goes on from there; a batch that was cut off leaves the manifest as it was.
+    Without, it lives below the shared folder and is deleted by close() or at the end of the process.
     """
 
     spark: SparkSession
@@ -195,58 +237,109 @@ class SpanIndex:
     gram: int = 96
     buckets: int = 0
     fanout: int = 4
+    folder: str | None = None
     runs: list[Run] = field(default_factory=list)
-    noted: list[DataFrame] = field(default_factory=list)
+    noted: list[str] = field(default_factory=list)
+    doc_type: str = ""
 
     def __post_init__(self) -> None:
         if not 0 < self.gram <= self.span:
             raise ValueError("gram must be from 1 to span")
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._lasts = self.folder is not None
+        self._at = _Folder(self.spark, self.folder or new_path(self.spark, "span_index"))
+        if known := sorted(n for n in self._at.names() if n.startswith("manifest-")):
+            self._open(json.loads(self._at.read(known[-1])))
+
+    def _open(self, manifest: dict) -> None:
+        if (manifest["span"], manifest["gram"]) != (self.span, self.gram):
+            raise ValueError(f"the index holds grams of {manifest['gram']} for spans of {manifest['span']} characters")
+        self.buckets, self.doc_type, self.noted = manifest["buckets"], manifest["doc_type"], manifest["noted"]
+        self.runs = [Run(**r) for r in manifest["runs"]]
+        for run in self.runs:
+            run.table = f"span_run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {run.table} (h BIGINT, low {self.doc_type}, high {self.doc_type}) USING PARQUET CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{run.heads}'")
+
+    def _save(self) -> None:
+        manifest = {"span": self.span, "gram": self.gram, "buckets": self.buckets, "doc_type": self.doc_type, "noted": self.noted, "runs": [asdict(r) | {"table": ""} for r in self.runs]}
+        older = [n for n in self._at.names() if n.startswith("manifest-")]
+        number = max((int(n.split("-")[1].split(".")[0]) for n in older), default=0) + 1
+        self._at.write(f"manifest-{number:08d}.json", json.dumps(manifest))
+        for name in older:
+            remove(self.spark, f"{self._at.path}/{name}")
+
+    def _drop(self, run: Run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run.table}")
+
+    def close(self) -> None:
+        """Drop the tables of this session's catalog; files go too unless the index has a folder of its own."""
+        for run in self.runs:
+            self._drop(run)
+        self.runs = []
+        if not self._lasts:
+            remove(self.spark, self._at.path)
 
-    def _write(self, postings: DataFrame, level: int) -> Run:
-        name = f"span_run_{uuid.uuid4().hex}"
-        placed = postings.select("h", "doc", "place").repartition(self.buckets, "h")
-        path = new_path(self.spark, name)
-        placed.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
-        return Run(name, level, path)
+    def _write(self, heads: DataFrame, level: int, postings: list[str]) -> Run:
+        """The run of heads already grouped by hash; where their partitions are as many as the buckets, they are the buckets."""
+        run = Run(level, self._at.fresh("run"), postings, f"span_run_{uuid.uuid4().hex}")
+        placed = heads if int(self.spark.conf.get("spark.sql.shuffle.partitions")) == self.buckets else heads.repartition(self.buckets, "h")
+        placed.write.bucketBy(self.buckets, "h").sortBy("h").option("path", run.heads).saveAsTable(run.table)
+        return run
 
-    def _by_hash(self, run: Run) -> DataFrame:
-        return self.spark.table(run.table).groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    def _read(self, paths: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(f"h bigint, doc {self.doc_type}, place int").parquet(*paths)
 
     def add_batch(self, docs: DataFrame) -> None:
         """Take in (doc, text); doc is unique over all batches."""
-        new = self._write(fingerprints(docs, self.gram, self.span), 0)
-        joined = self._by_hash(new).withColumn("hit", F.col("low") != F.col("high"))
+        self.doc_type = docs.schema["doc"].dataType.simpleString()
+        path = self._at.fresh("postings")
+        fingerprints(docs, self.gram, self.span).write.parquet(path)
+        self._take_in(path)
+
+    def add_batches(self, docs: DataFrame, batch: str, count: int) -> None:
+        """Take in (doc, text, `batch`), batch being from 0 to count - 1, one batch after the other; the texts are read once for all of them."""
+        self.doc_type = docs.schema["doc"].dataType.simpleString()
+        path = self._at.fresh("postings")
+        fingerprints(docs, self.gram, self.span, [batch]).write.partitionBy(batch).parquet(path)
+        for i in range(count):
+            if self._at.has(part := f"{path}/{batch}={i}"):
+                self._take_in(part)
+
+    def _take_in(self, path: str) -> None:
+        heads = self._read([path]).groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        new = self._write(heads, 0, [path])
+        joined = self.spark.table(new.table).withColumn("hit", F.col("low") != F.col("high"))
         for run in self.runs:
-            old = self._by_hash(run).select("h", F.lit(True).alias("old"))
+            old = self.spark.table(run.table).select("h", F.lit(True).alias("old"))
             joined = joined.join(old.hint("merge"), "h", "left").withColumn("hit", F.col("hit") | F.coalesce("old", F.lit(False))).drop("old")
-        self.noted.append(stage(joined.filter("hit").select("h"), "noted"))
+        noted = self._at.fresh("noted")
+        joined.filter("hit").select("h").write.parquet(noted)
+        self.noted.append(noted)
         self.runs.append(new)
-        self._compact()
-
-    def _compact(self) -> None:
-        level = 0
+        gone = self._compact()
+        self._save()
+        for run in gone:
+            self._drop(run)
+            remove(self.spark, run.heads)
+
+    def _compact(self) -> list[Run]:
+        """Runs of a level that is full made one of the next; gives the ones replaced, whose files go once the manifest is written."""
+        gone, level = [], 0
         while len(full := [r for r in self.runs if r.level == level]) >= self.fanout:
             merged = self.spark.table(full[0].table)
             for run in full[1:]:
                 merged = merged.unionByName(self.spark.table(run.table))
-            new = self._write(merged, level + 1)
-            for run in full:
-                self.spark.sql(f"DROP TABLE {run.table}")
-                remove(self.spark, run.path)
+            heads = merged.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            new = self._write(heads, level + 1, [p for r in full for p in r.postings])
             self.runs = [r for r in self.runs if r.level != level] + [new]
+            gone += full
             level += 1
+        return gone
 
     def _postings(self) -> DataFrame:
         """(doc, places) of the noted hashes, by document."""
-        hashes = self.noted[0]
-        for more in self.noted[1:]:
-            hashes = hashes.unionByName(more)
-        hashes = broadcast_if_small(hashes.distinct(), 500_000)
-        found = None
-        for run in self.runs:
-            part = self.spark.table(run.table).join(hashes, "h", "left_semi").select("doc", "place")
-            found = part if found is None else found.unionByName(part)
+        hashes = measured_side(self.spark.read.schema("h bigint").parquet(*self.noted).distinct(), "hashes")
+        found = self._read([p for r in self.runs for p in r.postings]).join(hashes, "h", "left_semi")
         return found.groupBy("doc").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def windows(self, texts: DataFrame) -> DataFrame:
@@ -259,30 +352,37 @@ class SpanIndex:
                 number, start, first, second, fresh = window_hashes(batch.column("text").to_pylist(), places, gram, span)
                 yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), batch.column("doc").take(pa.array(number)), pa.array(start.astype(np.int32)), pa.array(fresh)], names=["a", "b", "doc", "start", "fresh"])
 
-        marked = texts.join(broadcast_if_small(stage(self._postings(), "postings"), 100_000), "doc")
+        marked = texts.join(measured_side(self._postings(), "places"), "doc")
         return marked.select("doc", "text", "places").mapInArrow(run, f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int, fresh boolean")
 
     def shared(self, texts: DataFrame) -> Shared:
         """What all batches so far share; `texts` has (doc, text) of all their documents.
 
         Stretches are grouped by 128 bits of hash. The first of a group stands for it, and the others are compared
-        with it character by character, in runs of consecutive stretches; a run that differs is left out. So the
-        work follows the length of shared text, never the number of pairs.
+        with it in runs of consecutive stretches, by the SHA-256 of the run's characters on both sides; a run that
+        differs is left out. So the work follows the length of shared text, never the number of pairs, and texts
+        are read twice: for the windows and for the digests of each run once, however many documents share it.
         """
         if not self.runs:
-            empty = self.spark.createDataFrame([], f"a bigint, b bigint, doc {texts.schema['doc'].dataType.simpleString()}, start int, n_docs bigint, docs bigint, other {texts.schema['doc'].dataType.simpleString()}")
-            return Shared(empty, self.span)
+            doc = texts.schema["doc"].dataType.simpleString()
+            return Shared(self.spark.createDataFrame([], f"a bigint, b bigint, doc {doc}, start int, n_docs bigint, docs bigint, docs_2 bigint, other {doc}"), self.span)
         found = stage(self.windows(texts), "windows")
-        groups = found.filter("fresh").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), F.bit_xor(F.xxhash64("doc")).alias("docs"), F.min("doc").alias("other"), F.min_by("start", "doc").alias("other_start")).filter("n_docs > 1")
+        members_of = (F.bit_xor(F.xxhash64("doc")).alias("docs"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("docs_2"))
+        groups = found.filter("fresh").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs"), *members_of, F.min("doc").alias("other"), F.min_by("start", "doc").alias("other_start")).filter("n_docs > 1")
         members = stage(found.drop("fresh").join(groups, ["a", "b"]), "members")
         followed = members.filter((F.col("doc") != F.col("other")) | (F.col("start") != F.col("other_start"))).select("doc", "start", "other", (F.col("other_start") - F.col("start")).alias("shift"))
         line = Window.partitionBy("doc", "other", "shift").orderBy("start")
-        islands = followed.withColumn("island", F.col("start") - F.row_number().over(line)).groupBy("doc", "other", "shift", "island").agg(F.min("start").alias("low"), (F.max("start") + self.span).alias("high"))
-        islands = stage(islands, "islands")
-        cut = lambda c, low: F.substring(c, low + 1, F.col("high") - F.col("low"))
-        mine = broadcast_if_small(islands, 100_000).join(texts, "doc").withColumn("mine", cut("text", F.col("low"))).drop("text")
-        both = broadcast_if_small(stage(mine, "mine"), 20_000).join(texts.withColumnsRenamed({"doc": "other"}), "other")
-        wrong = stage(both.filter(F.col("mine") != cut("text", F.col("low") + F.col("shift"))).select("doc", "other", "shift", "low", "high"), "wrong")
+        islands = followed.withColumn("island", F.col("start") - F.row_number().over(line)).groupBy("doc", "other", "shift", "island").agg(F.min("start").alias("low"), (F.max("start") - F.min("start") + self.span).alias("length"))
+        islands = stage(islands.drop("island"), "islands")
+        mine = islands.select("doc", F.col("low").alias("at"), "length")
+        theirs = islands.select(F.col("other").alias("doc"), (F.col("low") + F.col("shift")).alias("at"), "length")
+        wanted = measured_side(mine.unionByName(theirs).distinct(), "wanted")
+        digest = F.unhex(F.sha2(F.substring("text", F.col("at") + 1, F.col("length")), 256))
+        digests = stage(texts.join(wanted, "doc").select("doc", "at", "length", digest.alias("digest")), "digests")
+        own = digests.withColumnsRenamed({"at": "low", "digest": "own"})
+        other = digests.select(F.col("doc").alias("other"), F.col("at").alias("there"), "length", F.col("digest").alias("first"))
+        compared = islands.join(own, ["doc", "low", "length"]).withColumn("there", F.col("low") + F.col("shift")).join(other, ["other", "there", "length"])
+        wrong = stage(compared.filter(F.col("own") != F.col("first")).select("doc", "other", "shift", "low", (F.col("low") + F.col("length")).alias("high")), "wrong")
         if not wrong.isEmpty():
             hit = (members["doc"] == wrong["doc"]) & (members["other"] == wrong["other"]) & (members["other_start"] - members["start"] == wrong["shift"]) & members["start"].between(wrong["low"], wrong["high"] - self.span)
             members = members.join(wrong, hit, "left_anti")
@@ -308,20 +408,19 @@ class Shared:
         """(doc, n_chars, n_spans, shared_chars, shared_share) of every document; a NULL or empty text has share NULL."""
         sums = self.spans().groupBy("doc").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
         sized = texts.select("doc", F.length("text").alias("n_chars"))
-        joined = join_same(sized, broadcast_if_small(sums), ["doc"], "left")
+        joined = join_same(sized, measured_side(sums, "sums"), ["doc"], "left")
         return joined.select("doc", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.try_divide(F.coalesce("shared_chars", F.lit(0)).cast("double"), F.col("n_chars").cast("double")).alias("shared_share"))
 
     def pairs(self, chunk: int = 1_000) -> DataFrame:
         """(doc_a, doc_b), doc_a < doc_b: the documents that share a stretch.
 
         Stretches that stand in the same set of documents are one case, known by the set's size, least member and
-        fingerprint. A set of n
-        documents is cut into parts of about `chunk`, and each part meets the whole set in a task of its own; the
+        a fingerprint of 128 bits. A set of n documents is cut into parts of about `chunk`, and each part meets the whole set in a task of its own; the
         work is what comes out, and no task holds a whole large set's pairs.
         """
-        one = self.members.groupBy("docs", "n_docs", "other").agg(F.min(F.struct("a", "b")).alias("w"))
+        one = self.members.groupBy("docs", "docs_2", "n_docs", "other").agg(F.min(F.struct("a", "b")).alias("w"))
         sets = one.select(F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-        inside = stage(join_same(self.members, broadcast_if_small(sets), ["a", "b"]).select("a", "b", "doc", "n_docs").distinct(), "sets")
+        inside = stage(join_same(self.members, measured_side(sets, "firsts"), ["a", "b"]).select("a", "b", "doc", "n_docs").distinct(), "sets")
         parts = F.ceil(F.col("n_docs") / chunk).cast("int")
         left = inside.select("a", "b", F.col("doc").alias("doc_a"), F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
         right = inside.select("a", "b", F.col("doc").alias("doc_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.ordered import ROWS_PER_BUCKET, running_sum
-from tidemark.plans.staging import broadcast_if_small, join_same, stage
+from tidemark.plans.staging import join_same, measured_side, stage
 
 #: The Unicode characters that are white space, and the signs around the end of a sentence.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,46 +89,55 @@ def _overlap_start(text: str, strong: dict[int, list[int]], previous: int, cut:
     return space + 1 if space >= 0 else max(cut - overlap, previous)
 
 
+def _cuts(text: str, strong: dict[int, list[int]], limit: int, overlap: int, k: int, hold: bool) -> list[tuple[int, int, int]] | None:
+    """Pieces at the boundaries nearest to k equal targets, or None where a limit fails.
+
+    Without `hold`, a cut may go anywhere within a quarter of a part. It fails if some piece, usually the last, comes out
+    over the limit. With `hold`, no cut goes so far back that the pieces left couldn't take the rest with full
+    overlaps, so the limit always holds, and a nearer, maybe weaker boundary is taken instead. Both fail where
+    the limit leaves a cut without any boundary although there is one within a quarter of a part.
+    """
+    n, part, pieces, start, fresh = len(text), len(text) / k, [], 0, 0
+    reach = max(1, int(part / 4))
+    for i in range(1, k):
+        if hold and n - start <= limit:
+            break
+        target = round(i * part)
+        ahead = min(target + reach, start + limit, n - 1)
+        floor = max(fresh + 1, n - (k - i) * (limit - overlap)) if hold else fresh + 1
+        low = max(target - reach, floor)
+        high = max(ahead, min(low, start + limit, n - 1)) if hold else ahead
+        low = min(low, high) if hold else low
+        if low > high or low <= fresh:
+            return None
+        cut, strength = _strongest(text, strong, low, high, min(max(target, low), high))
+        wide = max(target - reach, fresh + 1), min(target + reach, n - 1)
+        if strength == NONE and (wide[0] < low or high < wide[1]) and _strongest(text, strong, *wide, target)[1] != NONE:
+            return None
+        pieces.append((start, cut, strength))
+        fresh = cut + 1 if text[cut] == " " else cut
+        start = max(_overlap_start(text, strong, start + 1, cut, fresh, overlap), fresh + 1 - limit)
+    return [*pieces, (start, n, NONE)] if fresh < n and n - start <= limit else None
+
+
 def split_points(text: str, paragraphs: list[int], items: list[int], ends: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary at the end) of each piece of a tidy text.
 
     The least number of pieces k is what the limit and full overlaps allow. k equal parts give the targets; each
-    is moved to the strongest boundary within a quarter of a part, or less where the limit leaves less room. If a
-    piece is still over the limit, k grows by one, or by a fiftieth where it is large. Without any boundary the text is
-    cut at the target itself. Twice the least number fits but where the overlap takes nearly the whole limit;
-    then pieces are cut one after the other, each as near to the limit as its boundaries allow.
+    is moved to the strongest boundary within a quarter of a part. If a limit fails, nearer boundaries are tried
+    with the same k, and only where they fail too k grows, by one. So the number of pieces is the least for which
+    every cut within reach of a boundary is at one; without any boundary the text is cut at the targets.
     """
     n = len(text)
     if n <= limit:
         return [(0, n, NONE)]
     strong = {PARAGRAPH: paragraphs, SENTENCE: ends, ITEM: items}
     k = max(2, -(-(n - overlap) // (limit - overlap)))
-    most = 2 * k + 8
-    while k <= most:
-        part, cuts, fits = n / k, [], True
-        start = fresh = 0
-        for i in range(1, k):
-            target, reach = round(i * part), max(1, int(part / 4))
-            low, high = max(target - reach, fresh + 1), min(target + reach, start + limit, n - 1)
-            if low > high:
-                fits = False
-                break
-            cut, strength = _strongest(text, strong, low, high, min(max(target, low), high))
-            cuts.append((start, cut, strength))
-            begins = cut + 1 if text[cut] == " " else cut
-            start, fresh = _overlap_start(text, strong, start + 1, cut, begins, overlap), begins
-        if fits and n - start <= limit and fresh < n:
-            return [*cuts, (start, n, NONE)]
-        k += max(1, k // 50)
-    cuts, start, fresh = [], 0, 0
-    while n - start > limit:
-        high = min(start + limit, n - 1)
-        low = min(max(fresh + 1, start + limit // 2), high)
-        cut, strength = _strongest(text, strong, low, high, high)
-        cuts.append((start, cut, strength))
-        fresh = cut + 1 if text[cut] == " " else cut
-        start = max(_overlap_start(text, strong, start + 1, cut, fresh, overlap), fresh + 1 - limit)
-    return [*cuts, (start, n, NONE)]
+    while True:
+        for hold in (False, True):
+            if pieces := _cuts(text, strong, limit, overlap, k, hold):
+                return pieces
+        k += 1
 
 
 def _plan(texts: pd.Series, limit: int, overlap: int) -> pd.DataFrame:
@@ -174,7 +183,7 @@ def split_texts(df: DataFrame, item: str, source: str, ordinal: str, text: str,
     go into the running numbers, in buckets where a source is too large for one task.
     """
     base = df.select(F.col(item).alias("item"), F.col(source).alias("source"), F.col(ordinal).alias("ordinal"), F.col(text).alias("text"))
-    again = broadcast_if_small(base.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item"))
+    again = measured_side(base.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("item"), "again")
     once = join_same(base, again, ["item"], "left_anti").unionByName(join_same(base, again, ["item"], "left_semi").distinct())
     whole = F.array(F.lit(0)), F.array(F.col("n_chars_tidy")), F.array(F.lit(NONE))
     pick = lambda i, name: F.coalesce(F.col(f"plan.{name}"), whole[i])
@@ -182,6 +191,6 @@ def split_texts(df: DataFrame, item: str, source: str, ordinal: str, text: str,
     planned = stage(planned.withColumn("__row", F.xxhash64("tidy_text")), "pieces")
     counts = planned.groupBy("source", F.coalesce("ordinal", F.lit(-(2**31))).alias("__o"), "item", "__row").agg(F.sum(F.size("pieces")).alias("n"))
     offsets = running_sum(counts, ["source"], ["__o", "item", "__row"], "n", "__offset", rows_per_bucket=rows_per_bucket).drop("n")
-    numbered = join_same(planned.withColumn("__o", F.coalesce("ordinal", F.lit(-(2**31)))), broadcast_if_small(offsets, 100_000), ["source", "__o", "item", "__row"])
+    numbered = join_same(planned.withColumn("__o", F.coalesce("ordinal", F.lit(-(2**31)))), measured_side(offsets, "offsets"), ["source", "__o", "item", "__row"])
     exploded = numbered.select("item", "source", "__offset", "tidy_text", F.posexplode("pieces").alias("piece", "p"))
     return exploded.select(F.col("item").alias(item), F.col("source").alias(source), (F.col("__offset") + F.col("piece")).alias("ordinal"), "piece", F.col("p.s").alias("start"), F.substring("tidy_text", F.col("p.s") + 1, F.col("p.e") - F.col("p.s")).alias("text"), F.col("p.k").alias("cut_strength"))
