@@ -156,10 +156,11 @@ def fill_containers(df: DataFrame, item: str, size: Column, capacity: int, rows_
     last = F.col("size") % capacity
     packed = sizes.filter(last > 0).select("item", "size", last.cast("int").alias("tokens"))
     counted = packed.groupBy("tokens").agg(F.count(F.lit(1)).alias("rows"))
-    slots, _ = plan_containers({r["tokens"]: r["rows"] for r in counted.collect()}, capacity, **plan)
+    histogram = {r["tokens"]: r["rows"] for r in counted.collect()}
+    slots, _ = plan_containers(histogram, capacity, **plan)
     table = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], SLOTS).groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("first", "n", "container", "place"))).alias("slots")))
     ordered = packed.withColumns({"__h": F.xxhash64("item"), "__one": F.lit(1)})
-    ranked = running_sum(ordered, ["tokens"], ["__h", "item"], "__one", "rank", counted, rows_per_bucket).drop("__h", "__one")
+    ranked = running_sum(ordered, ["tokens"], ["__h", "item"], "__one", "rank", max(histogram.values(), default=0), rows_per_bucket).drop("__h", "__one")
     slot = F.element_at(F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["first"] + s["n"])), 1)
     part = F.floor(F.col("size") / capacity).cast("int")
     rest = ranked.join(table, "tokens").withColumn("slot", slot).select("item", part.alias("part"), (F.col("size") - F.col("tokens")).alias("start"), F.col("tokens").cast("bigint").alias("tokens"), F.concat(F.lit("c"), (F.col("slot.container") + F.col("rank") - F.col("slot.first")).cast("string")).alias("container"), F.col("slot.place").alias("place"), (F.col("size") > capacity).alias("is_split"))
