@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import distinct_rows
 from tidemark.plans.ordered import ROWS_PER_BUCKET, carried
-from tidemark.plans.staging import measured_side, stage
+from tidemark.plans.staging import measured_side, stage, stage_counted
 
 
 def _summary(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], categorical: Sequence[str], prefix: str = "") -> DataFrame:
@@ -66,9 +66,8 @@ def fill_missing(
     slim = distinct_rows(df, keep).select(F.col(record).alias("__record"), F.col(entity).alias("__entity"), F.col(time).alias("__time"), group.alias("__group"), *(c.alias(f) for f, c in (dict(numeric) | dict(categorical)).items()))
     rows = stage(slim, "fill_rows")
     placed = rows.filter("__entity IS NOT NULL AND __time IS NOT NULL")
-    series = stage(_summary(placed, ["__entity", "__time"], list(numeric), list(categorical)), "series")
-    sizes = series.groupBy("__entity").agg(F.count(F.lit(1)).alias("rows"))
-    near = carried(series.select("__entity", "__time", *fields), ["__entity"], "__time", fields, sizes, rows_per_bucket)
+    series, most = stage_counted(_summary(placed, ["__entity", "__time"], list(numeric), list(categorical)), "series")
+    near = carried(series.select("__entity", "__time", *fields), ["__entity"], "__time", fields, most, rows_per_bucket)
     near = near.select("__entity", "__time", *(f"prev_{f}" for f in fields), *(f"next_{f}" for f in fields))
     donors = _summary(rows.filter("__group IS NOT NULL AND __time IS NOT NULL"), ["__group", "__time"], list(numeric), list(categorical), "g_")
     donors = measured_side(donors.withColumnsRenamed({f"n_{f}": f"d_{f}" for f in fields}), "donors")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.values import distinct_rows, safe_ratio
 from tidemark.plans.ordered import ROWS_PER_BUCKET, quantiles_of_counts
-from tidemark.plans.staging import join_same, measured_side, stage
+from tidemark.plans.staging import join_same, measured_side, stage, stage_counted
 
 QUARTILES = (0.25, 0.5, 0.75)
 DECILES = tuple(i / 10 for i in range(1, 10))
@@ -118,7 +118,7 @@ def column_stats(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None
     )
 
 
-def exact_quantiles(counts: DataFrame, load: str, stats: DataFrame, probs: Sequence[float] = QUARTILES, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def exact_quantiles(counts: DataFrame, load: str, stats: DataFrame, probs: Sequence[float] = QUARTILES, rows_per_bucket: int = ROWS_PER_BUCKET, most: int | None = None) -> DataFrame:
     """One row (`load`, column_name, quantiles ARRAY<DOUBLE>) per load and numeric column with a measured value.
 
     Linear interpolation between the neighbouring ranks. Ranks come from running sums over the value counts, in
@@ -127,7 +127,7 @@ def exact_quantiles(counts: DataFrame, load: str, stats: DataFrame, probs: Seque
     numeric = counts.filter((F.col("num").isNotNull() & ~_nan()) | F.col("whole").isNotNull())
     values = numeric.select(load, "column_name", F.coalesce("num", F.col("whole").cast("double")).alias("__v"), "n")
     totals = stats.select(load, "column_name", (F.col("n_rows") - F.col("n_null") - F.col("n_nan")).alias("total"), F.col("n_distinct").alias("rows"))
-    return quantiles_of_counts(values, [load, "column_name"], "__v", "n", totals, probs, rows_per_bucket)
+    return quantiles_of_counts(values, [load, "column_name"], "__v", "n", totals, probs, rows_per_bucket, most)
 
 
 def profile(df: DataFrame, load: str, columns: Sequence[str], rules: Mapping[str, Rule] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -136,15 +136,15 @@ def profile(df: DataFrame, load: str, columns: Sequence[str], rules: Mapping[str
     An empty table gives no rows; a column that is always NULL has n_distinct 0 and NULL ranges; loads that are
     NULL form a load of their own. Extra columns are ignored but for telling repeats from rows that differ.
     """
-    counts = stage(value_counts(df, load, columns, rules), "value_counts")
-    return profile_of_counts(counts, load, rules, rows_per_bucket=rows_per_bucket)
+    counts, most = stage_counted(value_counts(df, load, columns, rules), "value_counts")
+    return profile_of_counts(counts, load, rules, rows_per_bucket=rows_per_bucket, most=most)
 
 
-def profile_of_counts(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None, classes: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def profile_of_counts(counts: DataFrame, load: str, rules: Mapping[str, Rule] | None, classes: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET, most: int | None = None) -> DataFrame:
     """column_stats with `quantiles`, the quartiles; with `classes` also `edges`, the deciles that drift compares by."""
     stats = stage(column_stats(counts, load, rules), "column_stats")
     probs = [*QUARTILES, *DECILES] if classes else QUARTILES
-    found = exact_quantiles(counts, load, stats, probs, rows_per_bucket)
+    found = exact_quantiles(counts, load, stats, probs, rows_per_bucket, most)
     if classes:
         edges = F.array_distinct(F.slice("quantiles", len(QUARTILES) + 1, len(DECILES)))
         found = found.select(load, "column_name", F.slice("quantiles", 1, len(QUARTILES)).alias("quantiles"), edges.alias("edges"))

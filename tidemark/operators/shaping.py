@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.values import measured
 from tidemark.plans.ordered import numbered, running_sum
-from tidemark.plans.staging import join_same, measured_side, stage
+from tidemark.plans.staging import join_same, measured_side, stage_counted
 
 
 def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[str] = ()) -> DataFrame:
@@ -19,10 +19,9 @@ def quantile_classes(df: DataFrame, value: str, classes: int = 6, by: Sequence[s
     The breaks are values that occur. They are one row per group, joined back; counts by value make the group small first.
     """
     v = measured(F.col(value).cast("double"))
-    counted = stage(df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
-    totals = measured_side(counted.groupBy(*by).agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("rows")), "totals")
-    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below", totals)
-    totals = totals.drop("rows")
+    counted, most = stage_counted(df.where(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    totals = measured_side(counted.groupBy(*by).agg(F.sum("__n").alias("__all")), "totals")
+    ranked = running_sum(counted, list(by), ["__v"], "__n", "__below", most)
     ranked = join_same(ranked, totals, by) if by else ranked.crossJoin(totals)  # one row
     ranks = F.array(*(F.greatest(F.ceil(F.lit(i) / classes * F.col("__all")) - 1, F.lit(0)) for i in range(1, classes + 1)))
     chosen = ranked.where(F.exists(ranks, lambda r: (F.col("__below") <= r) & (r < F.col("__below") + F.col("__n"))))

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import join_same, measured_side, stage
+from tidemark.plans.staging import join_same, measured_side, stage_counted
 
 #: Rows of one group that one task may sort.
 ROWS_PER_BUCKET = 1_000_000
@@ -23,12 +23,16 @@ MAX_BUCKETS = 512
 BUCKET = "__bucket"
 
 
-def bucketed(df: DataFrame, group: Sequence[str], order: str, sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, bool]:
+def bucketed(df: DataFrame, group: Sequence[str], order: str, sizes: DataFrame | int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, bool]:
     """`df` with a bucket number per row, rising with `order` within `group`; and whether any group was cut.
 
     `sizes` may hold the columns of `group`, or some of them, and a column `rows` that is an upper bound of the
-    group's rows; a cheap count of the raw table does. Other columns of it are ignored. Rows with equal `order` always share a bucket.
+    group's rows; a cheap count of the raw table does. It may also be a number that no group's rows exceed. Rows with equal `order` always share a bucket.
     """
+    if isinstance(sizes, int):
+        if sizes <= rows_per_bucket:
+            return df.withColumn(BUCKET, F.lit(0)), False
+        sizes = None
     if sizes is None:
         sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
     keys = [c for c in sizes.columns if c in group]
@@ -45,7 +49,7 @@ def bucketed(df: DataFrame, group: Sequence[str], order: str, sizes: DataFrame |
     return with_cuts.withColumn(BUCKET, F.when(F.col("__cuts").isNull(), 0).otherwise(below)).drop("__cuts"), True
 
 
-def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str = "below", sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str = "below", sizes: DataFrame | int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """`df` with `out`, the sum of `value` over the rows of the group that come before this one by `order`.
 
     `order` must tell the rows of a group apart, as it does in a table of value counts; its first column must be
@@ -62,7 +66,7 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     return parts.drop(BUCKET)
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "number", sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "number", sizes: DataFrame | int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """`df` with `out`, the place of each row in its group from 1; `order` as for running_sum."""
     counted = running_sum(df.withColumn("__one", F.lit(1)), group, order, "__one", out, sizes, rows_per_bucket)
     return counted.drop("__one").withColumn(out, F.col(out) + 1)
@@ -74,20 +78,20 @@ def count_up_to(df: DataFrame, group: Sequence[str], value: str, out: str, rows_
     Rows are counted by value first, so that equal values are one row of the running sum, and the counts come back
     by an equi-join on group and value.
     """
-    counts = stage(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
-    summed = running_sum(counts, group, ["__v"], "__n", "__below", rows_per_bucket=rows_per_bucket)
+    counts, most = stage_counted(df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    summed = running_sum(counts, group, ["__v"], "__n", "__below", most, rows_per_bucket)
     upto = summed.select(*group, "__v", (F.col("__below") + F.col("__n")).alias(out))
     return join_same(df.withColumn("__v", F.col(value)), upto, [*group, "__v"], "left").drop("__v")
 
 
-def quantiles_of_counts(counts: DataFrame, group: Sequence[str], value: str, n: str, totals: DataFrame, probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, group: Sequence[str], value: str, n: str, totals: DataFrame, probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET, most: int | None = None) -> DataFrame:
     """(`group`, quantiles ARRAY<DOUBLE>) of a table of value counts, by linear interpolation between the neighbouring ranks.
 
-    `totals` has one row per group with `total`, the sum of its counts, and `rows`, its number of values. Ranks come
+    `totals` has one row per group with `total`, the sum of its counts, and `rows`, its number of values; `most` may be a number that no group's `rows` exceed. Ranks come
     from running sums over the counts, so no group is gathered; at most two values a probability are kept.
     """
     totals = measured_side(totals, "totals")
-    ranked = running_sum(counts, group, [value], n, "__below", totals, rows_per_bucket)
+    ranked = running_sum(counts, group, [value], n, "__below", totals if most is None or most > rows_per_bucket else most, rows_per_bucket)
     placed = join_same(ranked, totals.select(*group, F.col("total").alias("__total")), group) if group else ranked.crossJoin(F.broadcast(totals.select(F.col("total").alias("__total"))))  # one row
     at = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col(n)), F.col(value)))
     picks, mixed = [], []
@@ -104,13 +108,13 @@ def quantiles(df: DataFrame, group: Sequence[str], values: Mapping[str, Column],
     The values are unpivoted and counted once, whatever their number.
     """
     long = df.select(*group, F.inline(F.array(*(F.struct(F.lit(k).alias("__f"), v.cast("double").alias("__v")) for k, v in values.items())))).where("__v IS NOT NULL")
-    counts = stage(long.groupBy(*group, "__f", "__v").agg(F.count(F.lit(1)).alias("__n")), "value_counts")
+    counts, most = stage_counted(long.groupBy(*group, "__f", "__v").agg(F.count(F.lit(1)).alias("__n")), "value_counts")
     totals = counts.groupBy(*group, "__f").agg(F.sum("__n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    found = quantiles_of_counts(counts, [*group, "__f"], "__v", "__n", totals, probs, rows_per_bucket)
+    found = quantiles_of_counts(counts, [*group, "__f"], "__v", "__n", totals, probs, rows_per_bucket, most)
     return found.groupBy(*group).agg(*(F.first(F.when(F.col("__f") == k, F.col("quantiles")), ignorenulls=True).alias(k) for k in values))
 
 
-def carried(df: DataFrame, group: Sequence[str], order: str, fields: Sequence[str], sizes: DataFrame | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def carried(df: DataFrame, group: Sequence[str], order: str, fields: Sequence[str], sizes: DataFrame | int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """`df` with `prev_f` and `next_f` for each field f: structs (at, value) of the nearest rows of the group before and after that have a value, or NULL.
 
     `df` has at most one row per group and value of `order`.

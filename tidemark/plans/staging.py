@@ -7,12 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes that a broadcast side may have: in files, which is looked at first, and in memory.
-FILE_BYTES, MEMORY_BYTES = 16 << 20, 64 << 20
+#: Bytes in memory that a broadcast side may have.
+MEMORY_BYTES = 64 << 20
 
 _own_dir: list[str] = []
 
@@ -45,26 +45,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder; the files of a dropped table stay otherwise."""
     try:
-        files, target = _file_system(spark, path)
-        files.delete(target, True)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session is gone already; the cluster's own retention applies
         pass
 
 
-def written_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of all files below a path."""
-    files, target = _file_system(spark, path)
-    return files.getContentSummary(target).getLength()
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as a table in the shared folder and read from there.
 
@@ -72,13 +61,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     twice is computed once. Unlike Dataset.checkpoint() it does not run the last stage twice and stays columnar.
     Catalyst knows its bytes, so an equi-join with a small one is planned as a broadcast from the start.
     """
-    return _staged(df, name)[0]
-
-
-def _staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """stage, and the number of rows; they are counted as they are written."""
+    seen = Observation()
+    return stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name), seen.get["rows"]
 
 
 def row_bytes(schema: T.StructType) -> Column:
@@ -98,15 +89,12 @@ def row_bytes(schema: T.StructType) -> Column:
 def measured_side(df: DataFrame, name: str = "side", memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """`df` staged, as one side of a join: broadcast if its rows take at most `memory_bytes`, else merged after a shuffle.
 
-    The files' own size is looked at first, so nothing large is counted; then the executors add up the rows' bytes.
-    The driver sees two numbers. The join's result is the same either way.
+    The executors add up the rows' bytes as they write them; the driver sees one number. Written again after a
+    lost executor, rows may count twice, which only errs towards the shuffle. The join's result is the same either way.
     """
-    staged, path = _staged(df, name)
-    if written_bytes(df.sparkSession, path) <= FILE_BYTES:
-        total = staged.agg(F.sum(row_bytes(staged.schema)).alias("b")).first()["b"] or 0
-        if total <= memory_bytes:
-            return F.broadcast(staged)
-    return staged.hint("merge")
+    seen = Observation()
+    staged = stage(df.observe(seen, F.sum(row_bytes(df.schema)).alias("bytes")), name)
+    return F.broadcast(staged) if (seen.get["bytes"] or 0) <= memory_bytes else staged.hint("merge")
 
 
 def join_same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions.values import identifier
 from tidemark.operators.fill import fill_missing, filled_long
 from tidemark.operators.profile import Rule, column_stats, drift, exact_quantiles, findings, profile, profile_of_counts, value_counts
 from tidemark.operators.snapshots import snapshot_changes
-from tidemark.plans.staging import stage
+from tidemark.plans.staging import stage, stage_counted
 from tidemark.sources.tables import table
 
 #: The texts of a NUTS level that count as given, the bounds of the five filled fields, forms of codes.
@@ -51,8 +51,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, columns, rules in (("exposure", EXPOSURE_COLUMNS, EXPOSURE_RULES), ("answers", ANSWER_COLUMNS, ANSWER_RULES)):
-        counts = stage(value_counts(table(spark, d, name), "load_no", columns, rules), "value_counts")
-        profiled = stage(profile_of_counts(counts, "load_no", rules, classes=True), "profile")
+        counts, most = stage_counted(value_counts(table(spark, d, name), "load_no", columns, rules), "value_counts")
+        profiled = stage(profile_of_counts(counts, "load_no", rules, classes=True, most=most), "profile")
         moved = drift(counts, "load_no", profiled)
         joined = profiled.join(moved, ["load_no", "column_name"], "left")
         q = lambda i: F.try_element_at("quantiles", F.lit(i))
