@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import measured, safe_ratio
+from tidemark.plans.ordered import count_up_to
+from tidemark.plans.staging import stage
 
 #: Fixed value: share of the draws in which a unit must be among the first for its rank to count as robust.
 ROBUST = 0.8
@@ -63,6 +66,12 @@ def pessimistic_rank(value: Column, partition: Sequence[str | Column]) -> Column
     return F.when(value.isNotNull(), F.count(F.lit(1)).over(line))
 
 
+def pessimistic_ranks(df: DataFrame, by: Sequence[str], value: str, out: str = "pessimistic_rank") -> DataFrame:
+    """pessimistic_rank as a column, for groups of any size: the number of rows that are at least as large, by running sums over value counts."""
+    down = df.withColumn("__down", -measured(F.col(value).cast("double")))
+    return count_up_to(down, by, "__down", out).drop("__down")
+
+
 def draw_weights(weights: Mapping[str, float], perturbation: float, draws: int, seed: int) -> list[list[float]]:
     """Weights of each draw, each times 1 plus a uniform number up to the perturbation either way; draw by draw, in the order of the indicators."""
     random = np.random.default_rng(seed)
@@ -80,52 +89,69 @@ def rank_stability(df: DataFrame, key: str, weights: Mapping[str, float], pertur
     """
     weights = check_weights(weights, df.columns, perturbed=True)
     names = list(weights)
+    df = stage(df.select(key, *names), "units")
     bounds = indicator_bounds(df, names)
     table = draw_weights(weights, perturbation, draws, seed)
-    base = df.crossJoin(F.broadcast(bounds)).select(key, *(scaled(n).alias(f"s_{n}") for n in names), F.lit(False).alias("__x"), *(F.col(f"{p}_{n}") for n in names for p in ("low", "high"))).drop("__x")
+    base = df.crossJoin(F.broadcast(bounds)).select(key, *(scaled(n).alias(f"s_{n}") for n in names), *(F.col(f"{p}_{n}") for n in names for p in ("low", "high")))  # bounds are one row
     parts = {n: F.col(f"s_{n}") for n in names}
-    one = lambda w: weighted_mean(parts, {n: w[i] for i, n in enumerate(names)})
-    matrix = F.array(*(F.array(*(F.lit(x) for x in row)) for row in table))
-    scores = F.transform(matrix, one)
-    merged = base.select(*(F.col(f"s_{n}") for n in names)).mapInPandas(_keep_largest(names, table, top), T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    merged = base.select(*(F.col(f"s_{n}") for n in names)).mapInArrow(_keep_largest(table, top), "draw int, score double")
     line = Window.partitionBy("draw").orderBy(F.desc("score"))
     cut = merged.withColumn("__n", F.row_number().over(line)).where(F.col("__n") <= top + 1).groupBy("draw").agg(F.max(F.when(F.col("__n") == top, F.col("score"))).alias("last"), F.max(F.when(F.col("__n") == top + 1, F.col("score"))).alias("next"))
-    # a tie across the border takes the last rank of the tie, so only scores above it are in
-    limits = cut.select("draw", F.when(F.col("next") == F.col("last"), F.col("last")).alias("above"), F.when(F.col("next").isNull() | (F.col("next") < F.col("last")), F.col("last")).alias("from"))
-    packed = limits.agg(F.sort_array(F.collect_list(F.struct("draw", "above", "from"))).alias("limits"))  # one row per draw
-    joined = base.crossJoin(F.broadcast(packed))
-    hit = lambda s, t: F.when(s.isNotNull() & ((s > t["above"]) | (s >= t["from"]) | (t["above"].isNull() & t["from"].isNull())), 1).otherwise(0)
-    hits = F.aggregate(F.zip_with(scores, "limits", hit), F.lit(0), lambda a, x: a + x)
+    # a tie across the border takes the last rank of the tie, so only scores above it are in; with fewer than top units all are
+    above, start = np.full(draws, np.inf), np.full(draws, np.inf)
+    for row in cut.collect():  # one row per draw
+        if row["last"] is None:
+            start[row["draw"]] = -np.inf
+        elif row["next"] == row["last"]:
+            above[row["draw"]] = row["last"]
+        else:
+            start[row["draw"]] = row["last"]
+    shape = T.StructType([*base.schema, T.StructField("__hits", T.IntegerType())])
+    joined = base.mapInArrow(_count_hits([f"s_{n}" for n in names], table, above, start), shape)
     fixed = {n: F.lit(w) for n, w in weights.items()}
     coverage = sum((F.when(parts[n].isNotNull(), w).otherwise(0.0) for n, w in weights.items()), F.lit(0.0)) / sum(weights.values())
     spread = F.greatest(*(F.coalesce(F.col(f"high_{n}") - F.col(f"low_{n}"), F.lit(0.0)) for n in names)) if len(names) > 1 else F.coalesce(F.col(f"high_{names[0]}") - F.col(f"low_{names[0]}"), F.lit(0.0))
-    measured_rows = joined.select(key, weighted_mean(parts, fixed).alias("vulnerability"), coverage.alias("indicator_coverage"), F.when(spread > 0, hits / F.lit(float(draws))).otherwise(0.0).alias("top_n_frequency"), (spread > 0).alias("__spread"))
+    measured_rows = joined.select(key, weighted_mean(parts, fixed).alias("vulnerability"), coverage.alias("indicator_coverage"), F.when(spread > 0, F.col("__hits") / F.lit(float(draws))).otherwise(0.0).alias("top_n_frequency"), (spread > 0).alias("__spread"))
     robust = F.col("top_n_frequency") >= ROBUST
     confidence = F.when(F.col("indicator_coverage") <= 0, "not_measured").when(~F.col("__spread"), "no_discrimination").when(F.lit(len(names) < 2), "single_indicator").when(robust & (F.col("indicator_coverage") >= 1), "robust").when(robust, "partial_indicators").otherwise("indicative")
     return measured_rows.withColumn("confidence", confidence).drop("__spread")
 
 
-def _keep_largest(names: Sequence[str], table: Sequence[Sequence[float]], top: int):
-    """For each draw, the top + 1 largest scores of a partition; batches are reduced as they come."""
+def _scores(batch: pa.RecordBatch, names: Sequence[str], weights: np.ndarray) -> np.ndarray:
+    """Mean of the scaled values by each draw's weights, units by draws; -inf for a unit without any value."""
+    values = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype("float64") for n in names])
+    have = ~np.isnan(values)
+    total, bottom = np.zeros((2, len(values), len(weights)))
+    for i in range(values.shape[1]):
+        bottom += have[:, i : i + 1] * weights[:, i]
+        total += np.where(have[:, i : i + 1], np.nan_to_num(values[:, i : i + 1]) * weights[:, i], 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(bottom > 0, total / bottom, -np.inf)
 
-    def run(batches):
-        import numpy as np
-        import pandas as pd
 
+def _keep_largest(table: Sequence[Sequence[float]], top: int):
+    """For each draw, the top + 1 largest scores of a partition; batches are reduced as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.array(table)
         best = np.full((len(table), top + 1), -np.inf)
         for batch in batches:
-            values = batch.to_numpy(dtype="float64")
-            have = ~np.isnan(values)
-            total, bottom = np.zeros((2, len(values), len(weights)))
-            for i in range(values.shape[1]):  # summed in the order of the indicators, as the expressions do
-                bottom += have[:, i : i + 1] * weights[:, i]
-                total += np.where(have[:, i : i + 1], np.nan_to_num(values[:, i : i + 1]) * weights[:, i], 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = np.where(bottom > 0, total / bottom, -np.inf).T
-            both = np.concatenate([best, scores], axis=1)
+            both = np.concatenate([best, _scores(batch, batch.schema.names, weights).T], axis=1)
             best = -np.partition(-both, top, axis=1)[:, : top + 1]
         draws, places = np.nonzero(np.isfinite(best))
-        yield pd.DataFrame({"draw": draws.astype("int32"), "score": best[draws, places]})
+        yield pa.RecordBatch.from_arrays([pa.array(draws.astype(np.int32)), pa.array(best[draws, places])], names=["draw", "score"])
+
+    return run
+
+
+def _count_hits(names: Sequence[str], table: Sequence[Sequence[float]], above: np.ndarray, start: np.ndarray):
+    """The batches with the number of draws in which a unit scores above one limit or at least another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.array(table)
+        for batch in batches:
+            scores = _scores(batch, names, weights)
+            hits = (np.isfinite(scores) & ((scores > above) | (scores >= start))).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits)], names=[*batch.schema.names, "__hits"])
 
     return run

@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import measured
+from tidemark.operators.selection import period_label, warming_label
+from tidemark.plans.ordered import quantiles
+from tidemark.plans.staging import join_same
+
+
+QUARTILES = (0.25, 0.5, 0.75)
+#: Fixed value: the form of a region's code.
+REGION_CODE = "[A-Z]{2}[0-9A-Z]{0,3}"
 
 
 def finite(value: str) -> Column:
@@ -18,21 +26,23 @@ def finite(value: str) -> Column:
 def quartiles(df: DataFrame, keys: Sequence[str], value: str, least: int = 10) -> DataFrame:
     """Exact quartiles by linear interpolation and the count of finite values; NULL under `least` values.
 
-    percentile keeps a map of value counts per group and merges the maps of the tasks, so equal values cost nothing.
+    They come from running sums over value counts, so no group's values are held together.
     """
     v = finite(value)
-    q = df.groupBy(*keys).agg(F.count(v).alias("n_points"), F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"))
-    enough = lambda i: F.when(F.col("n_points") >= least, F.col("__q")[i])
+    n = df.groupBy(*keys).agg(F.count(v).alias("n_points"))
+    q = join_same(n, quantiles(df, keys, {"__q": v}, QUARTILES), keys, "left")
+    enough = lambda i: F.when(F.col("n_points") >= least, F.get("__q", F.lit(i)))
     return q.select(*keys, "n_points", enough(0).alias("p25"), enough(1).alias("median"), enough(2).alias("p75"))
 
 
 def ensemble(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Over the members of each key: median, range, quartiles, number of members, agreement on the sign (two members at least, all of one sign)."""
     v = finite(value)
-    out = df.groupBy(*keys).agg(F.percentile(v, [0.25, 0.5, 0.75]).alias("__q"), F.min(v).alias("ensemble_min"), F.max(v).alias("ensemble_max"), F.count(v).alias("ensemble_members"), F.count_if(v > 0).alias("__up"), F.count_if(v < 0).alias("__down"))
+    out = df.groupBy(*keys).agg(F.min(v).alias("ensemble_min"), F.max(v).alias("ensemble_max"), F.count(v).alias("ensemble_members"), F.count_if(v > 0).alias("__up"), F.count_if(v < 0).alias("__down"))
+    out = join_same(out, quantiles(df, keys, {"__q": v}, QUARTILES), keys, "left")
     n = F.col("ensemble_members")
     agrees = (n >= 2) & ((F.col("__up") == n) | (F.col("__down") == n))
-    return out.select(*keys, F.col("__q")[1].alias("ensemble_median"), "ensemble_min", "ensemble_max", F.col("__q")[0].alias("ensemble_p25"), F.col("__q")[2].alias("ensemble_p75"), "ensemble_members", agrees.alias("ensemble_agrees_on_sign"))
+    return out.select(*keys, F.get("__q", F.lit(1)).alias("ensemble_median"), "ensemble_min", "ensemble_max", F.get("__q", F.lit(0)).alias("ensemble_p25"), F.get("__q", F.lit(2)).alias("ensemble_p75"), "ensemble_members", agrees.alias("ensemble_agrees_on_sign"))
 
 
 def models_agree(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -47,6 +57,28 @@ def size_uncertain(low: Column, high: Column, limit: float = 100.0) -> Column:
     return F.coalesce(high - low > limit, F.lit(False))
 
 
+def medians_side_by_side(df: DataFrame, key: str, members: Mapping[str, Column], value: str) -> DataFrame:
+    """One row per key with the median of the finite values of each named member, a condition on the rows; NULL for a member without any.
+
+    All members are counted in one pass, each file of a member being rows that its condition tells.
+    """
+    found = quantiles(df, [key], {name: F.when(rows, finite(value)) for name, rows in members.items()}, [0.5])
+    return df.select(key).distinct().join(found.select(key, *(F.get(n, F.lit(0)).alias(n) for n in members)), key, "left")
+
+
+def tidy_long(df: DataFrame, value: str, pattern: str = REGION_CODE, warming: str | None = None, period: str | None = None) -> DataFrame:
+    """A long indicator frame made uniform: the region column, found by its content, named region_code; labels of warming levels and periods in one form; rows without a finite value dropped.
+
+    ValueError if no column holds region codes alone.
+    """
+    region = find_code_column(df, pattern)
+    if region is None:
+        raise ValueError(f"no column of region codes in {df.columns}")
+    out = drop_unmeasured(df, value).withColumnRenamed(region, "region_code")
+    labels = {c: f(F.col(c)) for c, f in ((warming, warming_label), (period, period_label)) if c}
+    return out.withColumns(labels) if labels else out
+
+
 def period_summary(df: DataFrame, periods: Sequence[str], stems: Mapping[str, str]) -> DataFrame:
     """Wide columns <stem>_<period> summed up by period: members, regions measured, median of medians, regions agreeing, regions with an uncertain size.
 
@@ -54,7 +86,9 @@ def period_summary(df: DataFrame, periods: Sequence[str], stems: Mapping[str, st
     """
     rows = F.array(*(F.struct(F.lit(p).alias("period"), *(F.col(f"{s}_{p}").alias(k) for k, s in stems.items())) for p in periods))
     long = df.select(F.inline(rows))
-    return long.groupBy("period").agg(F.max("members").alias("members"), F.count("median").alias("n_measured"), F.percentile("median", F.lit(0.5)).alias("median_change"), F.count_if("agrees").alias("n_agreeing"), F.count_if(size_uncertain(F.col("low"), F.col("high"))).alias("n_size_uncertain"))
+    sums = long.groupBy("period").agg(F.max("members").alias("members"), F.count("median").alias("n_measured"), F.count_if("agrees").alias("n_agreeing"), F.count_if(size_uncertain(F.col("low"), F.col("high"))).alias("n_size_uncertain"))
+    medians = quantiles(long, ["period"], {"__q": finite("median")}, [0.5])
+    return join_same(sums, medians, ["period"], "left").select("period", "members", "n_measured", F.get("__q", F.lit(0)).alias("median_change"), "n_agreeing", "n_size_uncertain")
 
 
 def find_code_column(df: DataFrame, pattern: str) -> str | None:

@@ -20,11 +20,19 @@ what when where how not do does did has have had can could will would should may
 le la les un une des du de et ou mais au aux en dans par pour avec sur sous est sont ete etre qui que quoi dont ce
 cette ces il elle ils elles leur pas
 """.split()
-LEAST_SCORE, LEAST_COVERAGE, K1, B, PASSAGE_CHARS = 1.5, 0.4, 1.5, 0.75, 900
+LEAST_SCORE, LEAST_COVERAGE, K1, B, PASSAGE_CHARS, EXCERPT_CHARS = 1.5, 0.4, 1.5, 0.75, 900, 600
 
 _CITE = r"\[S(\d+)\]"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """`docs` dealt out over all cores where the scan has fewer partitions, as one file of texts is one task; tokenising costs more than sending them."""
+    cores, plan = docs.sparkSession.sparkContext.defaultParallelism, docs._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():  # its partitions aren't known before it runs
+        return docs
+    return docs.repartition(cores) if plan.toRdd().getNumPartitions() < cores else docs
+
+
 def tokens(text: Column) -> Column:
     """Lower-case content words: runs of letters and digits of any script, over two characters, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))
@@ -52,7 +60,7 @@ def passages(docs: DataFrame, source: str, text: str, most: int = PASSAGE_CHARS)
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, length): how often each term stands in each document, and how many terms that has."""
-    split = docs.select(key, tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
+    split = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
     return split.select(key, "length", F.explode("__t").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -67,7 +75,7 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
     asked = stage(queries.select(query, tokens(F.col(question)).alias("asked")), "asked")
     wanted = asked.select(query, F.explode("asked").alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("times"))
     # every document also gets one posting of the term NULL, so lengths come from the same pass over the texts
-    sized = docs.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__t")).withColumn("length", F.size("__t"))
+    sized = spread(docs.select(key, text)).select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("__t")).withColumn("length", F.size("__t"))
     exploded = sized.select(key, "length", F.explode(F.array_append("__t", F.lit(None).cast("string"))).alias("term"))
     marked = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([(None,)], "term string")).distinct()
     kept = stage(join_same(exploded, measured_side(marked, "terms"), ["term"], "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
@@ -90,6 +98,15 @@ def gated(hits: DataFrame, query: str, least_score: float = LEAST_SCORE, least_c
     return hits.join(good, query, "left_semi")
 
 
+def evidence_rows(hits: DataFrame, docs: DataFrame, query: str, key: str, text: str, most: int = EXCERPT_CHARS) -> DataFrame:
+    """(query, id, key, text, score): the hits of a query as numbered sources S1, S2 .. with the head of their text and the score to three decimals.
+
+    The few hits meet the texts; the excerpt is what the caller shows, while the scores are of whole texts.
+    """
+    heads = docs.select(key, F.substring(text, 1, most).alias("text"))
+    return heads.join(measured_side(hits.select(query, key, "rank", "score"), "hits"), key).select(query, F.concat(F.lit("S"), F.col("rank").cast("string")).alias("id"), key, "text", F.bround("score", 3).alias("score"))
+
+
 def without_citations(text: Column) -> Column:
     return F.regexp_replace(text, _CITE, " ")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def annual_probability(df: DataFrame, period: str = "return_period") -> DataFram
     return df.withColumn("annual_probability", F.try_divide(F.lit(1.0), F.col(period).cast("double")))
 
 
+def stacked(frames: Mapping[int, DataFrame], period: str = "return_period") -> DataFrame:
+    """The frames of single scenarios as one long table, with the scenario and its annual probability as columns; they must have the same columns."""
+    parts = [annual_probability(df.withColumn(period, F.lit(value)), period) for value, df in sorted(frames.items())]
+    if not parts:
+        raise ValueError("no scenario to stack")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def expected_annual_exposure(df: DataFrame, keys: Sequence[str], exposure: str = "exposed_pop", probability: str = "annual_probability") -> DataFrame:
     """Trapezoid integral of exposure over annual probability per unit, with the frequent tail and what was done.
 

@@ -88,7 +88,8 @@ def fill_missing(
     return full.select(*out)
 
 
-def filled_long(filled: DataFrame, record: str, fields: Sequence[str], table_name: str) -> DataFrame:
-    """The result of fill_missing with one row per record and field; values as text."""
-    items = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value"), F.col(f"{f}_method").alias("method"), F.col(f"{f}_distance").alias("distance"), F.col(f"{f}_donors").alias("donors")) for f in fields))
+def filled_long(filled: DataFrame, record: str, numeric: Sequence[str], categorical: Sequence[str], table_name: str) -> DataFrame:
+    """The result of fill_missing with one row per record and field, the value in `number` or in `text`."""
+    value = lambda f: (F.lit(f).alias("field_name"), (F.col(f) if f in numeric else F.lit(None)).cast("double").alias("number"), (F.col(f) if f in categorical else F.lit(None)).cast("string").alias("text"))
+    items = F.array(*(F.struct(*value(f), F.col(f"{f}_method").alias("method"), F.col(f"{f}_distance").alias("distance"), F.col(f"{f}_donors").alias("donors")) for f in (*numeric, *categorical)))
     return filled.select(F.lit(table_name).alias("table_name"), record, F.inline(items))

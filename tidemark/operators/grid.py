@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +78,18 @@ def resample(cells: DataFrame, step: float, value: Column, keys: Sequence[str] =
     return cells.groupBy(*keys, gx.alias("gx"), gy.alias("gy")).agg(F.avg(value).alias("mean_value"), F.max(value).alias("max_value"), F.count(value).alias("n_cells"))
 
 
-def nearest_cell(left: DataFrame, right: DataFrame, step: float, value: str, x: str = "x", y: str = "y") -> DataFrame:
-    """`left` with the value of the cell of a regular grid (centres at multiples of `step`) nearest to it; NULL where that cell isn't there. An equi-join on whole numbers."""
+def nearest_cell(left: DataFrame, right: DataFrame, step: float, value: str, x: str = "x", y: str = "y", required: bool = False) -> DataFrame:
+    """`left` with the value of the cell of a regular grid (centres at multiples of `step`) nearest to it, at most half a step away. An equi-join on whole numbers.
+
+    Where that cell isn't there the value is NULL, or the query fails if it is `required`: two grids that should be the same and aren't.
+    """
     key = lambda c: F.floor(F.col(c) / step + 0.5).cast("bigint")
-    grid = right.select(key(x).alias("__ix"), key(y).alias("__iy"), F.col(value))
-    return left.withColumns({"__ix": key(x), "__iy": key(y)}).join(grid, ["__ix", "__iy"], "left").drop("__ix", "__iy")
+    grid = right.select(key(x).alias("__ix"), key(y).alias("__iy"), F.lit(True).alias("__there"), F.col(value))
+    joined = left.withColumns({"__ix": key(x), "__iy": key(y)}).join(grid, ["__ix", "__iy"], "left")
+    if required:
+        far = F.concat(F.lit("no cell within half a step of "), F.col(x).cast("string"), F.lit(", "), F.col(y).cast("string"))
+        joined = joined.withColumn(value, F.when(F.col("__there"), F.col(value)).otherwise(F.raise_error(far)))
+    return joined.drop("__ix", "__iy", "__there")
 
 
 def union_share(covers: DataFrame, cells: DataFrame, region: str, cell: str, area: str) -> DataFrame:
@@ -124,6 +132,71 @@ def laea_europe(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def _rounds(start: Column, rounds: int, step) -> Column:
+    """`step` applied so many times, as a fold, so that the expression doesn't grow with the rounds."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda x, _: step(x))
+
+
+def _authalic() -> tuple[float, float]:
+    """The eccentricity of the ellipsoid, and its authalic q at the pole."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    return e, (1 - e2) * (1 / (1 - e2) - math.log((1 - e) / (1 + e)) / (2 * e))
+
+
+def laea_europe_inverse(x: Column, y: Column, rounds: int = 5) -> tuple[Column, Column]:
+    """Metres of the equal-area projection of Europe to longitude and latitude in degrees; the latitude by a few rounds of Newton's method."""
+    e, qp = _authalic()
+    e2, s1 = e * e, math.sin(math.radians(LAEA_LAT))
+    q1 = (1 - e2) * (s1 / (1 - e2 * s1 * s1) - math.log((1 - e * s1) / (1 + e * s1)) / (2 * e))
+    beta1, radius = math.asin(q1 / qp), SEMI_MAJOR * math.sqrt(qp / 2)
+    d = SEMI_MAJOR * math.cos(math.radians(LAEA_LAT)) / math.sqrt(1 - e2 * s1 * s1) / (radius * math.cos(beta1))
+    u, v = (x - LAEA_X) / d, (y - LAEA_Y) * d
+    rho = F.sqrt(u * u + v * v)
+    angle = 2 * F.asin(rho / (2 * radius))
+    beta = F.when(rho == 0, beta1).otherwise(F.asin(F.cos(angle) * math.sin(beta1) + v * F.sin(angle) * math.cos(beta1) / F.when(rho != 0, rho)))
+
+    def newton(lat: Column) -> Column:
+        s = F.sin(lat)
+        w = 1 - e2 * s * s
+        return lat + w * w / (2 * F.cos(lat)) * (qp * F.sin(beta) / (1 - e2) - s / w + F.ln((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    lat = _rounds(beta, rounds, newton)
+    lon = LAEA_LON + F.degrees(F.atan2(u * F.sin(angle), rho * math.cos(beta1) * F.cos(angle) - v * math.sin(beta1) * F.sin(angle)))
+    return F.when(rho == 0, LAEA_LON).otherwise(lon), F.degrees(lat)
+
+
+def mollweide(lon: Column, lat: Column, rounds: int = 12) -> tuple[Column, Column]:
+    """Degrees to metres of the Mollweide projection of the sphere with the ellipsoid's larger radius; its angle by Newton's method."""
+    target = math.pi * F.sin(F.radians(lat))
+
+    def newton(theta: Column) -> Column:
+        slope = 2 + 2 * F.cos(2 * theta)
+        return F.when(slope < 1e-12, theta).otherwise(theta - (2 * theta + F.sin(2 * theta) - target) / F.when(slope >= 1e-12, slope))
+
+    theta = _rounds(F.radians(lat), rounds, newton)
+    return SEMI_MAJOR * 2 * math.sqrt(2) / math.pi * F.radians(lon) * F.cos(theta), SEMI_MAJOR * math.sqrt(2) * F.sin(theta)
+
+
+def mollweide_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Metres of the Mollweide projection to degrees; NULL longitude at the poles' single points of width 0."""
+    theta = F.asin(y / (SEMI_MAJOR * math.sqrt(2)))
+    lat = F.asin((2 * theta + F.sin(2 * theta)) / math.pi)
+    lon = F.try_divide(math.pi * x, 2 * math.sqrt(2) * SEMI_MAJOR * F.cos(theta))
+    return F.degrees(lon), F.degrees(lat)
+
+
+def common_extent(layers: DataFrame, step: float) -> dict[str, float]:
+    """The part that every layer covers, of rows (left, bottom, right, top) in one reference, widened to whole cells of `step`; ValueError if there is none.
+
+    A cell that some layer doesn't cover was never looked at, and must not count as dry.
+    """
+    row = layers.agg(F.floor(F.max("left") / step).alias("left"), F.floor(F.max("bottom") / step).alias("bottom"), F.ceil(F.min("right") / step).alias("right"), F.ceil(F.min("top") / step).alias("top")).first().asDict()
+    if None in row.values() or row["right"] <= row["left"] or row["top"] <= row["bottom"]:
+        raise ValueError(f"the layers have no part in common: {row} in steps of {step}")
+    return {k: int(v) * step for k, v in row.items()} | {"width": int(row["right"] - row["left"]), "height": int(row["top"] - row["bottom"])}
+
+
 def clip_convex(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """The part of a polygon inside a convex window given anticlockwise: cut by one side of the window after the other."""
     out = subject
@@ -144,30 +217,68 @@ def ring_area(ring: list[tuple[float, float]]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_area(subject: pd.Series, window: pd.Series) -> pd.Series:
-    """Area of a simple polygon within a convex one, each an array of (x, y)."""
+def _edges(rings: list[list[tuple[float, float]]]) -> np.ndarray:
+    """(x1, y1, x2, y2) of all sides but the level ones, lower end first."""
+    sides = [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    e = np.array(sides, dtype=float).reshape(-1, 4)
+    e = e[e[:, 1] != e[:, 3]]
+    return np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
+
+
+def common_area(left: list[list[tuple[float, float]]], right: list[list[tuple[float, float]]]) -> float:
+    """Area inside both of two polygons of any form, each by its rings and the even-odd rule, so holes and several parts count as they should.
+
+    Between two neighbouring heights of vertices and crossings no sides cross, so the common width is linear in
+    between, and height times width in the middle is exact.
+    """
+    a, b = _edges(left), _edges(right)
+    if not len(a) or not len(b):
+        return 0.0
+    low, high = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 3].max(), b[:, 3].max())
+    if low >= high:
+        return 0.0
+    a, b = (e[(e[:, 3] > low) & (e[:, 1] < high)] for e in (a, b))
+    every = np.concatenate([a, b])
+    slope = (every[:, 2] - every[:, 0]) / (every[:, 3] - every[:, 1])
+    at_zero = every[:, 0] - slope * every[:, 1]
+    i, j = np.triu_indices(len(every), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (at_zero[j] - at_zero[i]) / (slope[i] - slope[j])
+    real = np.isfinite(cross) & (cross > np.maximum(every[i, 1], every[j, 1])) & (cross < np.minimum(every[i, 3], every[j, 3]))
+    heights = np.unique(np.concatenate([every[:, 1], every[:, 3], cross[real], [low, high]]))
+    heights = heights[(heights >= low) & (heights <= high)]
+    total = 0.0
+    for y0, y1 in zip(heights[:-1], heights[1:]):
+        y = (y0 + y1) / 2
+        ends = []
+        for sign, e in ((1, a), (2, b)):
+            met = e[(e[:, 1] <= y) & (y < e[:, 3])]
+            xs = met[:, 0] + (met[:, 2] - met[:, 0]) * (y - met[:, 1]) / (met[:, 3] - met[:, 1])
+            ends += [(x, sign) for x in xs]
+        state, since = 0, 0.0
+        for x, sign in sorted(ends):
+            if state == 3:
+                total += (x - since) * (y1 - y0)
+            state, since = state ^ sign, x
+    return total
 
-    def one(s, w) -> float | None:
-        if s is None or w is None:
-            return None
-        ring = lambda points: [(p["x"], p["y"]) for p in points]
-        frame = ring(w)
-        frame = frame if ring_area(frame) >= 0 else frame[::-1]
-        return abs(ring_area(clip_convex(ring(s), frame)))
 
-    return pd.Series([one(s, w) for s, w in zip(subject, window)])
+@F.pandas_udf(T.DoubleType())
+def overlap_area(subject: pd.Series, window: pd.Series) -> pd.Series:
+    """Area inside both of two polygons, each an array of rings of (x, y)."""
+    rings = lambda polygon: [[(p["x"], p["y"]) for p in ring] for ring in polygon]
+    return pd.Series([None if s is None or w is None else common_area(rings(s), rings(w)) for s, w in zip(subject, window)])
 
 
 def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: float) -> DataFrame:
-    """(left_key, right_key, area) of polygons that overlap, the right ones convex: pairs meet in a common bucket of their boxes, once, and are clipped in Arrow batches."""
+    """(left_key, right_key, area) of polygons of any form that overlap: pairs meet in a common bucket of their boxes, once, and their common area is taken in Arrow batches."""
 
     def boxed(df: DataFrame, key: str, out: str) -> DataFrame:
-        p = F.col("rings")[0]
-        span = lambda axis: (F.array_min(F.transform(p, lambda q: q[axis])), F.array_max(F.transform(p, lambda q: q[axis])))
+        points = F.flatten("rings")
+        span = lambda axis: (F.array_min(F.transform(points, lambda q: q[axis])), F.array_max(F.transform(points, lambda q: q[axis])))
         (x0, x1), (y0, y1) = span("x"), span("y")
         steps = lambda a, b: F.sequence(F.floor(a / size).cast("bigint"), F.floor(b / size).cast("bigint"))
-        base = df.select(key, p.alias(out), x0.alias(f"{out}_x"), y0.alias(f"{out}_y"), x1.alias("__x1"), y1.alias("__y1"))
+        base = df.select(key, F.col("rings").alias(out), x0.alias(f"{out}_x"), y0.alias(f"{out}_y"), x1.alias("__x1"), y1.alias("__y1")).where("__x1 IS NOT NULL")
         return base.withColumn("bx", F.explode(steps(F.col(f"{out}_x"), F.col("__x1")))).withColumn("by", F.explode(steps(F.col(f"{out}_y"), F.col("__y1")))).drop("__x1", "__y1")
 
     pairs = boxed(left, left_key, "l").join(boxed(right, right_key, "r"), ["bx", "by"])
@@ -175,6 +286,27 @@ def overlay(left: DataFrame, right: DataFrame, left_key: str, right_key: str, si
     return pairs.where(once).select(left_key, right_key, overlap_area("l", "r").alias("area")).where("area > 0")
 
 
+def ring_depths(rings: list[list[tuple[float, float]]]) -> list[int]:
+    """In how many other rings each ring lies: even ones are outlines, odd ones holes."""
+
+    def within(p: tuple[float, float], ring: list[tuple[float, float]]) -> bool:
+        return sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    middle = lambda ring: ((ring[0][0] + ring[1][0]) / 2, (ring[0][1] + ring[1][1]) / 2)
+    return [sum(within(middle(r), other) for k, other in enumerate(rings) if k != i) for i, r in enumerate(rings)]
+
+
+def parts_of(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
+    """The rings as polygons, each an outline followed by its holes; a hole belongs to the smallest outline of the depth above that holds it."""
+    depth = ring_depths(rings)
+    parts = {i: [rings[i]] for i, d in enumerate(depth) if d % 2 == 0}
+    for i, d in enumerate(depth):
+        if d % 2:
+            holders = [k for k in parts if depth[k] == d - 1 and ring_depths([rings[i], rings[k]])[0]]
+            parts[min(holders, key=lambda k: abs(ring_area(rings[k])))].append(rings[i])
+    return list(parts.values())
+
+
 def simplify(points: Sequence[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
     """Points of a line without those nearer than `tolerance` to the line between the ones kept; with a stack, so that long rings don't recurse."""
     keep, stack = {0, len(points) - 1}, [(0, len(points) - 1)]

@@ -74,6 +74,11 @@ def level_coverage(parents: DataFrame, children: DataFrame, parent: str, parent_
     return joined.select(parent, "parent_total", child.alias("child_total"), F.coalesce("n_children", F.lit(0)).alias("n_children"), (F.col("parent_total") - child).alias("unattributed"), safe_ratio(child, F.col("parent_total")).alias("coverage_ratio"))
 
 
+def ratio_to_total(units: DataFrame, total: DataFrame, value: str) -> DataFrame:
+    """`units` with `ratio`, their value over the one total of the level above; NULL where that is absent or zero. `total` is one row with the column total."""
+    return units.crossJoin(F.broadcast(total.select(F.col("total").alias("__total")))).withColumn("ratio", safe_ratio(F.col(value), F.col("__total"))).drop("__total")
+
+
 def parent_value(units: DataFrame, parents: DataFrame, unit: str, parent_key: Column, code: str, value: str, out: str) -> DataFrame:
     """`units` with the value of the parent that `parent_key` (a prefix, say) names; NULL where there is none."""
     named = parents.select(F.col(code).alias("__code"), F.col(value).alias(out))

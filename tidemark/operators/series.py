@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import measured, safe_ratio
+from tidemark.plans.ordered import quantiles
+from tidemark.plans.staging import join_same, stage
 
 
 def expected_steps(year: Column, per_day: int = 4) -> Column:
@@ -51,7 +53,10 @@ def trends(df: DataFrame, keys: Sequence[str], year: str, value: str) -> DataFra
 def regional_trends(cells: DataFrame, region: str, slope: str, z: str, mean: str, critical: float = 1.96) -> DataFrame:
     """Median change in per cent per decade, share of cells that rise significantly, and cells, by region."""
     pct = safe_ratio(F.col(slope) * 1000, F.col(mean))
-    return cells.groupBy(region).agg(F.percentile(pct, F.lit(0.5)).alias("pct_per_decade"), F.avg(F.when(F.col(z).isNotNull(), (F.col(z) > critical).cast("double"))).alias("share_increasing"), F.count(F.lit(1)).alias("n_cells"))
+    cells = stage(cells.select(region, z, pct.alias("__pct")), "trends")
+    sums = cells.groupBy(region).agg(F.avg(F.when(F.col(z).isNotNull(), (F.col(z) > critical).cast("double"))).alias("share_increasing"), F.count(F.lit(1)).alias("n_cells"))
+    medians = quantiles(cells, [region], {"__q": F.col("__pct")}, [0.5])
+    return join_same(sums, medians, [region], "left").select(region, F.get("__q", F.lit(0)).alias("pct_per_decade"), "share_increasing", "n_cells")
 
 
 def complete_series(df: DataFrame, keys: Sequence[str], year: str, peak: str, mean: str, n_years: int, least_mean: float) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.queries import problems, relational, text_and_series
+from tidemark.queries import layers, problems, relational, text_and_series
 
-MODULES = (problems, relational, text_and_series)
+MODULES = (problems, relational, text_and_series, layers)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -85,7 +85,7 @@ def filled(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:
-    parts = [filled_long(filled(spark, d, name), "record_id", [*numbers, *levels], name) for name, (numbers, levels) in _FIELDS.items()]
+    parts = [filled_long(filled(spark, d, name), "record_id", list(numbers), levels, name) for name, (numbers, levels) in _FIELDS.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -144,9 +144,67 @@ def _p5_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _long_sql(name: str, columns: dict[str, str], rules: dict[str, Rule]) -> str:
+    """One row per distinct row and column: the value in the slot of its kind, and whether it is outside or breaks the pattern."""
+    parts = []
+    for c, kind in columns.items():
+        slot = {"num": "NULL::DOUBLE", "whole": "NULL::BIGINT", "txt": "NULL::VARCHAR"} | {kind.split(":")[0]: {"whole:time": f"epoch_us({c})", "whole": f"{c}::BIGINT"}.get(kind, c)}
+        rule = rules.get(c, Rule())
+        top = rule.high if isinstance(rule.high, str) else repr(rule.high)
+        outside = f"({c} < {rule.low} OR {c} > {top}) AND NOT isnan({c}::DOUBLE)" if rule.low is not None else "false"
+        broken = f"NOT regexp_matches({c}, '^({rule.pattern})$')" if rule.pattern else "false"
+        parts.append(f"SELECT load_no, '{c}' AS c, {slot['num']} AS num, {slot['whole']} AS whole, {slot['txt']} AS txt, coalesce({outside}, false) AS outside, coalesce({broken}, false) AS broken FROM (SELECT DISTINCT * FROM {name})")
+    return " UNION ALL ".join(parts)
+
+
+def _profile_sql(name: str, columns: dict[str, str], rules: dict[str, Rule]) -> str:
+    deciles = ", ".join(f"{i / 10}" for i in range(1, 10))
+    return f"""
+WITH l AS ({_long_sql(name, columns, rules)}), m AS (SELECT *, coalesce(isnan(num), false) AS nan, CASE WHEN isnan(num) THEN NULL ELSE num END AS x, coalesce(CASE WHEN isnan(num) THEN NULL ELSE num END, whole::DOUBLE) AS v FROM l),
+s AS (SELECT load_no, c, count(*) AS n_rows, count(*) FILTER (WHERE num IS NULL AND whole IS NULL AND txt IS NULL) AS n_null, count(*) FILTER (WHERE nan) AS n_nan, count(DISTINCT x) + count(DISTINCT whole) + count(DISTINCT txt) AS n_distinct,
+  min(x) AS min_num, max(x) AS max_num, min(whole) AS min_whole, max(whole) AS max_whole, min(txt) AS min_txt, max(txt) AS max_txt, count(*) FILTER (WHERE outside) AS n_outside, count(*) FILTER (WHERE broken) AS n_pattern,
+  quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, list_distinct(quantile_cont(v, [{deciles}])) AS edges FROM m GROUP BY ALL),
+p AS (SELECT *, lead(load_no) OVER (PARTITION BY c ORDER BY load_no) AS step FROM s),
+t AS (SELECT m.load_no AS step, m.c, true AS now, m.* EXCLUDE (load_no, c) FROM m UNION ALL SELECT p.step, m.c, false, m.* EXCLUDE (load_no, c) FROM m JOIN p ON m.load_no = p.load_no AND m.c = p.c WHERE p.step IS NOT NULL),
+k AS (SELECT t.step, t.c, now, CASE WHEN t.num IS NULL AND t.whole IS NULL AND t.txt IS NULL OR nan THEN 'missing' WHEN t.txt IS NOT NULL THEN '=' || t.txt WHEN t.whole IS NOT NULL AND p.min_whole IS NOT NULL AND p.n_distinct <= 20 THEN '=' || t.whole
+  WHEN p.q50 IS NOT NULL THEN 'above ' || len(list_filter(p.edges, lambda e: e < t.v)) ELSE 'new' END AS label FROM t JOIN p ON t.step = p.step AND t.c = p.c),
+g AS (SELECT step, c, label, count(*) FILTER (WHERE now) AS a, count(*) FILTER (WHERE NOT now) AS b FROM k GROUP BY ALL),
+w AS (SELECT *, sum(a) OVER (PARTITION BY step, c) AS ta, sum(b) OVER (PARTITION BY step, c) AS tb FROM g),
+f AS (SELECT step, c, count(*) AS n_classes, sum((greatest(a, 0.5) / ta - greatest(b, 0.5) / tb) * ln((greatest(a, 0.5) / ta) / (greatest(b, 0.5) / tb))) AS psi, sum((a - greatest(b, 0.5) * ta / tb) ** 2 / (greatest(b, 0.5) * ta / tb)) AS chi_square FROM w GROUP BY ALL)
+SELECT '{name}' AS table_name, load_no, s.c AS column_name, n_rows, n_null, n_nan, n_distinct, min_num, max_num, min_whole, max_whole, min_txt, max_txt, n_outside, n_pattern, q25, q50, q75, n_classes, psi, chi_square FROM s LEFT JOIN f ON s.load_no = f.step AND s.c = f.c"""
+
+
+#: The slot that each column of the two tables goes to.
+_EXPOSURE_SLOTS = dict.fromkeys(EXPOSURE_COLUMNS, "txt") | dict.fromkeys(("total_pop", "hazard_coverage", "exposed_pop", "annual_probability", "share_over_65", "poverty_rate_pct"), "num") | {"cells_counted": "whole", "return_period": "whole", "loaded_at": "whole:time"}
+_ANSWER_SLOTS = dict.fromkeys(ANSWER_COLUMNS, "txt") | dict.fromkeys(("answer_id", "return_period", "defaulted_return_period", "matched", "null_excluded"), "whole") | {"asked_at": "whole:time"}
+
+
+def _filled_sql() -> str:
+    bare = lambda c: f"regexp_replace(lower({c}), '{_WS}+', '', 'g')"
+    parts = []
+    for name, (numbers, levels) in _FIELDS.items():
+        level = lambda c: "CASE " + " ".join(f"WHEN {bare(c)} = '{''.join(t.lower().split())}' THEN '{t}'" for t in LEVELS) + " END"
+        base = f"SELECT record_id, nuts_id AS e, release_no AS t, substr(nuts_id, 1, 4) AS g, {', '.join([f'CASE WHEN {c} BETWEEN {b[0]} AND {b[1]} AND NOT isnan({c}) THEN {c} END AS {c}' for c, b in numbers.items()] + [f'{level(c)} AS {c}' for c in levels])} FROM (SELECT DISTINCT * FROM {name})"
+        for c in [*numbers, *levels]:
+            number = c in numbers
+            mode = lambda keys: f"SELECT {keys}, avg(v) AS v FROM r GROUP BY ALL" if number else f"SELECT {keys}, arg_min(v, (-n, v)) AS v FROM (SELECT {keys}, v, count(v) AS n FROM r GROUP BY ALL) GROUP BY ALL"  # noqa: B023, E731
+            value = "coalesce(v, CASE WHEN pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * (t - pt) / (nt - pt)::DOUBLE END, gv, near)" if number else "coalesce(v, near, gv)"
+            method = ("CASE WHEN v IS NOT NULL THEN 'observed' WHEN pv IS NOT NULL AND nv IS NOT NULL THEN 'interpolated' WHEN gv IS NOT NULL THEN 'group' WHEN near IS NOT NULL THEN 'carried' ELSE 'none' END" if number else "CASE WHEN v IS NOT NULL THEN 'observed' WHEN near IS NOT NULL THEN 'carried' WHEN gv IS NOT NULL THEN 'group' ELSE 'none' END")
+            parts.append(f"""SELECT * FROM (WITH r AS (SELECT record_id, e, t, g, {c} AS v FROM ({base})), s AS ({mode('e, t')}),
+w AS (SELECT e, t, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt, first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER a AS nt
+  FROM s WINDOW b AS (PARTITION BY e ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY e ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+d AS ({mode('g, t').replace(' AS v ', ' AS gv ')}), n AS (SELECT g, t, count(v) AS donors FROM r GROUP BY ALL),
+j AS (SELECT r.*, pv, pt, nv, nt, gv, donors, CASE WHEN pv IS NOT NULL AND t - pt <= 4 AND (nv IS NULL OR t - pt <= nt - t) THEN pv WHEN nv IS NOT NULL AND nt - t <= 4 THEN nv END AS near,
+  CASE WHEN pv IS NOT NULL AND t - pt <= 4 AND (nv IS NULL OR t - pt <= nt - t) THEN t - pt WHEN nv IS NOT NULL AND nt - t <= 4 THEN nt - t END AS dist FROM r JOIN w USING (e, t) JOIN d USING (g, t) JOIN n USING (g, t))
+SELECT '{name}' AS table_name, record_id, '{c}' AS field_name, {value if number else 'NULL::DOUBLE'} AS number, {'NULL::VARCHAR' if number else value} AS text, {method} AS method, CASE {method} WHEN 'observed' THEN 0 WHEN 'group' THEN 0 WHEN 'interpolated' THEN least(t - pt, nt - t) WHEN 'carried' THEN dist END AS distance, donors FROM j)""")
+    return "\nUNION ALL ".join(parts)
+
+
 SQL = {
     "p2_found": _P2 + "SELECT * FROM found WHERE change_kind IS NOT NULL",
     "p2_change_counts": _P2 + "SELECT snapshot_no, change_kind, count(*) AS n_sources FROM found WHERE change_kind IS NOT NULL GROUP BY ALL",
     "p3_found": _P3,
+    "p3_profile": f"SELECT * FROM ({_profile_sql('exposure', _EXPOSURE_SLOTS, EXPOSURE_RULES)}) UNION ALL SELECT * FROM ({_profile_sql('answers', _ANSWER_SLOTS, ANSWER_RULES)})",
     "p5_found": _p5_sql(),
+    "p5_filled": _filled_sql(),
 }

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import identifier, measured, nan_to_null, safe_ratio
-from tidemark.operators import checks, composite, ensemble, exposure, hierarchy, shaping, star
+from tidemark.operators import checks, composite, ensemble, exposure, hierarchy, selection, shaping, star
 from tidemark.operators.query_spec import Filter, Plan, ask, with_share
+from tidemark.plans.ordered import quantiles
+from tidemark.plans.staging import join_same, stage
 from tidemark.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -108,9 +110,7 @@ ASKED = ["XD111", "XD112", "ZZ999", "XQ100"]
 @query(f"SELECT a.nuts_id, count(e.nuts_id) > 0 AS known, count(e.nuts_id) AS n_rows FROM (SELECT unnest({ASKED!r}) AS nuts_id) a LEFT JOIN exposure e ON a.nuts_id = e.nuts_id GROUP BY a.nuts_id")
 def profile_ids_with_unknown(spark, d) -> DataFrame:
     """Ids asked for, and which of them the table doesn't know."""
-    asked = F.broadcast(spark.createDataFrame([(a,) for a in ASKED], ["nuts_id"]))  # the request itself
-    counts = table(spark, d, "exposure").where(F.col("nuts_id").isin(ASKED)).groupBy("nuts_id").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(counts, "nuts_id", "left").select("nuts_id", F.col("n").isNotNull().alias("known"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    return selection.known_ids(table(spark, d, "exposure"), "nuts_id", ASKED)
 
 
 @query("SELECT c_nationkey, sum(c_acctbal) AS c_acctbal, count(*) AS n_rows, count(DISTINCT c_mktsegment) AS n_events, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS c_mktsegment FROM customer GROUP BY 1")
@@ -248,7 +248,7 @@ def rank_stability_montecarlo(spark, d) -> DataFrame:
 @query("SELECT o_orderkey, o_orderpriority, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC RANGE UNBOUNDED PRECEDING) AS pessimistic_rank FROM orders")
 def pessimistic_rank(spark, d) -> DataFrame:
     """Ties take their last rank."""
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", composite.pessimistic_rank(F.col("o_totalprice"), ["o_orderpriority"]).alias("pessimistic_rank"))
+    return composite.pessimistic_ranks(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice").drop("o_totalprice")
 
 
 @query("SELECT l_suppkey, count(*) AS n_points, " + ", ".join(f"CASE WHEN count(*) >= 10 THEN quantile_cont(l_extendedprice, {p}) END AS {n}" for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))) + " FROM lineitem GROUP BY 1")
@@ -350,8 +350,11 @@ def bi_rollup_drill(spark, d) -> DataFrame:
 CASE count(DISTINCT nuts_id) WHEN 0 THEN 'none' WHEN 1 THEN min(nuts_id) ELSE 'several' END AS region_shown, printf('%d of %d', count(*) FILTER (WHERE poverty > 15), count(poverty)) AS agreeing FROM {_R} GROUP BY ALL""")
 def bi_medians(spark, d) -> DataFrame:
     """M8, M15-M21."""
-    q = lambda p: F.percentile("poverty", F.lit(p))
-    return _regions(spark, d).groupBy("load_no", "country").agg(q(0.5).alias("median_poverty"), q(0.25).alias("lower_quartile"), q(0.75).alias("upper_quartile"), star.only_value("nuts_id").alias("only_region"), star.label_of("nuts_id").alias("region_shown"), star.n_of_m(F.col("poverty") > 15, F.col("poverty").isNotNull()).alias("agreeing"))
+    r, by = stage(_regions(spark, d), "regions"), ["load_no", "country"]
+    shown = r.groupBy(*by).agg(star.only_value("nuts_id").alias("only_region"), star.label_of("nuts_id").alias("region_shown"), star.n_of_m(F.col("poverty") > 15, F.col("poverty").isNotNull()).alias("agreeing"))
+    q = join_same(shown, quantiles(r, by, {"q": F.col("poverty")}, [0.25, 0.5, 0.75]), by, "left")
+    at = lambda i: F.get("q", F.lit(i))
+    return q.select(*by, at(1).alias("median_poverty"), at(0).alias("lower_quartile"), at(2).alias("upper_quartile"), "only_region", "region_shown", "agreeing")
 
 
 @query("""WITH b AS (SELECT o_orderpriority, list_sort(list_distinct([quantile_disc(o_totalprice, 1/6.0), quantile_disc(o_totalprice, 2/6.0), quantile_disc(o_totalprice, 3/6.0), quantile_disc(o_totalprice, 4/6.0), quantile_disc(o_totalprice, 5/6.0), max(o_totalprice)])) AS breaks FROM orders GROUP BY 1)
@@ -399,11 +402,11 @@ def cartesian_coverage_check(spark, d) -> DataFrame:
 _ID = lambda c: rf"regexp_replace(lower({c}), '^[\s\v\x{{85}}\p{{Z}}]+|[\s\v\x{{85}}\p{{Z}}]+$', '', 'g')"
 
 
-@query(f"SELECT lower(sha256) AS sha256, list_sort(list(DISTINCT {_ID('source_id')})) AS owners FROM fetch_results WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {_ID('source_id')}) > 1")
+@query("SELECT path, list_sort(list(DISTINCT source_id)) AS owners FROM fetch_results WHERE path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_id) > 1")
 def path_collisions(spark, d) -> DataFrame:
-    """Targets that several sources write to, here the same content."""
-    f = table(spark, d, "fetch_results").where("sha256 IS NOT NULL").select(F.lower("sha256").alias("sha256"), identifier("source_id").alias("owner"))
-    return checks.collisions(f, "sha256", "owner")
+    """Paths that several sources, as they are spelled, write to."""
+    f = table(spark, d, "fetch_results").where("path IS NOT NULL").select("path", F.col("source_id").alias("owner"))
+    return checks.collisions(f, "path", "owner")
 
 
 @query(f"""WITH a AS (SELECT DISTINCT {_ID('source')} AS source FROM mix_targets), b AS (SELECT DISTINCT {_ID('source')} AS source FROM documents WHERE source IS NOT NULL)
@@ -428,13 +431,6 @@ def labelled_regions(spark, d) -> DataFrame:
     return r.select("nuts_id", "country_name", "area_km2", (F.col("area_km2") * 100).alias("hectares"), hierarchy.label(F.col("country"), {"XD": "first"}).alias("label"))
 
 
-@query(f"""SELECT load_no, nuts_id, exposed, pop, exposed / nullif(pop, 0) AS share FROM {_R}""")
-def indicators_joined(spark, d) -> DataFrame:
-    """Many-to-one join of the dimension onto its regions."""
-    r = _regions(spark, d)
-    return r.select("load_no", "nuts_id", "exposed", "pop", safe_ratio(F.col("exposed"), F.col("pop")).alias("share"))
-
-
 @query(f"""WITH e AS (SELECT load_no, country, return_period, {_N('exposed_pop')} AS x, coalesce(cells_counted % 4 * 50 >= return_period, false) AS held FROM exposure)
 SELECT load_no, country, return_period, sum(x) AS exposed_pop_all, sum(CASE WHEN held AND x IS NOT NULL THEN 0 ELSE x END) AS exposed_pop_residual, count(*) FILTER (WHERE held) AS n_held FROM e GROUP BY ALL""")
 def residual_exposure(spark, d) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import nan_to_null
 from tidemark.operators import agreement, evidence, grid, series
 from tidemark.plans.staging import new_path
 from tidemark.sources import files, jsonstat
@@ -36,7 +35,13 @@ def tokens_and_df(spark, d) -> DataFrame:
     return evidence.term_counts(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
-@query()
+_WS = r"[\s\v\x{85}\p{Z}]"
+_SENTENCES = rf"string_split(regexp_replace(trim(regexp_replace(text, '{_WS}+', ' ', 'g')), '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, list_reduce(list_transform({_SENTENCES}, lambda s: {{'done': []::VARCHAR[], 'open': s}}), lambda a, b: CASE WHEN length(a.open) > 0 AND length(a.open) + length(b.open) > 900 THEN {{'done': list_append(a.done, rtrim(a.open)), 'open': b.open || ' '}}
+ELSE {{'done': a.done, 'open': a.open || b.open || ' '}} END, {{'done': []::VARCHAR[], 'open': ''}}) AS r FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, list_filter(list_append(r.done, trim(r.open)), lambda x: x <> '') AS parts FROM f)
+SELECT doc_id, unnest(range(0, len(parts)))::INT AS ordinal, unnest(parts) AS text FROM p""")
 def sentence_chunks(spark, d) -> DataFrame:
     """Whole sentences packed into passages."""
     return evidence.passages(table(spark, d, "documents"), "doc_id", "text")
@@ -80,13 +85,16 @@ def digit_sequences(spark, d) -> DataFrame:
     return table(spark, d, "passages").select("passage_id", evidence.figures(F.col("text")).alias("figures")).distinct()
 
 
-@query("SELECT doc_id, true AS kept FROM documents")
+_FIG = lambda c: rf"list_transform(regexp_extract_all(regexp_replace({c}, '\[S\d+\]', ' ', 'g'), '\d+(?:[ .,\x{{a0}}\x{{202f}}]\d+)*'), lambda x: regexp_replace(x, '\D', '', 'g'))"
+
+
+@query(f"SELECT DISTINCT passage_id, {_FIG('text')} = {_FIG("replace(text, '199', '18')")} AS kept FROM passages WHERE text IS NOT NULL")
 def figures_kept(spark, d) -> DataFrame:
-    """A copy with other white space keeps its figures and markers."""
-    return table(spark, d, "documents").select("doc_id", evidence.figures_kept(F.col("text"), F.concat(F.lit(" "), "text")).alias("kept"))
+    """A copy in which some figures were altered, which the check must tell from the others."""
+    return table(spark, d, "passages").where("text IS NOT NULL").select("passage_id", evidence.figures_kept(F.col("text"), F.regexp_replace("text", "199", "18")).alias("kept")).distinct()
 
 
-@query()
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{_WS}+', ' ', 'g')) AS text FROM documents")
 def html_to_text(spark, d) -> DataFrame:
     """text of pages, without script."""
     page = F.concat(F.lit("<html><script>var x = 1;</script><p>"), F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p></html>"))
@@ -185,9 +193,9 @@ _XY = "(event_id * 37 % 1000) / 10.0 + 0.013 AS x, (event_id * 91 % 997) / 10.0
 POLYGONS = {"kite": [[(10.0, 50.0), (45.0, 5.0), (90.0, 50.0), (45.0, 95.0)]], "frame": [[(5.0, 5.0), (60.0, 5.0), (60.0, 60.0), (5.0, 60.0)], [(20.0, 20.0), (40.0, 20.0), (40.0, 40.0), (20.0, 40.0)]]}
 
 
-def _points(spark, d) -> DataFrame:
+def _points(spark, d, *more: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.select("event_id", ((F.col("event_id") * 37 % 1000) / 10.0 + 0.013).alias("x"), ((F.col("event_id") * 91 % 997) / 10.0 + 0.017).alias("y"), F.col("value"))
+    return e.select("event_id", *more, ((F.col("event_id") * 37 % 1000) / 10.0 + 0.013).alias("x"), ((F.col("event_id") * 91 % 997) / 10.0 + 0.017).alias("y"), F.col("value"))
 
 
 def _polygons(spark) -> DataFrame:
@@ -223,15 +231,15 @@ def resample_average(spark, d) -> DataFrame:
     return grid.resample(_points(spark, d), 7.0, (F.col("value") > 20).cast("double"))
 
 
-@query(f"""WITH pt AS (SELECT event_id, {_XY} FROM events), g AS (SELECT floor(x / 5 + 0.5)::BIGINT AS ix, floor(y / 5 + 0.5)::BIGINT AS iy, max(event_id) AS v FROM pt WHERE event_id % 3 = 0 GROUP BY ALL) SELECT event_id, v AS threshold FROM pt LEFT JOIN g ON ix = floor(x / 5 + 0.5)::BIGINT AND iy = floor(y / 5 + 0.5)::BIGINT""")
+@query(f"""WITH pt AS (SELECT event_id, event_type, {_XY} FROM events), g AS (SELECT floor(x / 5 + 0.5)::BIGINT AS ix, floor(y / 5 + 0.5)::BIGINT AS iy, max(event_id) AS v FROM pt WHERE event_type = 'signup' GROUP BY ALL) SELECT event_id, v AS threshold FROM pt LEFT JOIN g ON ix = floor(x / 5 + 0.5)::BIGINT AND iy = floor(y / 5 + 0.5)::BIGINT""")
 def nearest_cell_join(spark, d) -> DataFrame:
     """The value of the cell that a point lies nearest to.
 
-    Only every third event makes a cell, by its id as in the SQL, so that the grid has holes; points there get NULL.
+    Only events of one type make cells, so the grid has holes; points there get NULL.
     """
-    p = _points(spark, d)
+    p = _points(spark, d, "event_type")
     step = lambda c: (F.floor(F.col(c) / 5.0 + 0.5) * 5.0).alias(c)
-    cells = p.where(F.col("event_id") % 3 == 0).groupBy(step("x"), step("y")).agg(F.max("event_id").alias("threshold"))
+    cells = p.where("event_type = 'signup'").groupBy(step("x"), step("y")).agg(F.max("event_id").alias("threshold"))
     return grid.nearest_cell(p, cells, 5.0, "threshold").select("event_id", "threshold")
 
 
@@ -266,8 +274,8 @@ def daily_stream(spark, d) -> DataFrame:
     """Daily windows of a replayed stream."""
     like = table(spark, d, "events")
     stream = streams.events(spark, f"{d}/events.parquet*", like)
-    name = f"daily_{uuid.uuid4().hex}"
-    out = streams.drain(streams.tumbling(stream, "ts", "1 day", ["event_type"], "value"), name, "complete", new_path(spark, name))
+    days = streams.tumbling(stream, "ts", "1 day", ["event_type"], "value", late="2 days")
+    out = streams.replayed(days, new_path(spark, "daily"), ["window_start", "event_type"])
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -279,18 +287,17 @@ def user_sessions(spark, d) -> DataFrame:
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query(r"SELECT DISTINCT path, regexp_extract(path, '([a-z_]+)_(\d{5})/file_(\d+)\.([a-z]+)$', 1) AS kind, regexp_extract(path, '([a-z_]+)_(\d{5})/file_(\d+)\.([a-z]+)$', 2) AS layer, regexp_extract(path, 'file_(\d+)\.([a-z]+)$', 2) AS form FROM fetch_results WHERE regexp_matches(path, '([a-z_]+)_(\d{5})/file_(\d+)\.([a-z]+)$')")
+@query(r"SELECT DISTINCT path, regexp_extract(path, '([^/]+)$', 1) AS name, regexp_extract(path, 'file_(\d+)\.([a-z]+)$', 1) AS number, regexp_extract(path, 'file_(\d+)\.([a-z]+)$', 2) AS form FROM fetch_results WHERE regexp_matches(path, '/file_(\d+)\.([a-z]+)$')")
 def provenance_fields(spark, d) -> DataFrame:
-    """What a path says about its file."""
-    whole = r"([a-z_]+)_(\d{5})/file_(\d+)\.([a-z]+)$"
-    p = table(spark, d, "fetch_results").where(F.col("path").rlike(whole)).select("path").distinct()
-    return p.select("path", *(F.regexp_extract("path", whole, i).alias(n) for i, n in ((1, "kind"), (2, "layer"), (4, "form"))))
+    """What a file's name says about it."""
+    p = table(spark, d, "fetch_results").select("path").distinct().withColumn("f", files.name_fields(F.col("path"), r"^(file_(\d+)\.([a-z]+))$", ["name", "number", "form"]))
+    return p.where("f IS NOT NULL").select("path", "f.*")
 
 
-@query("SELECT record_id, release_no, nuts_id, household_income_pps_per_hab, household_income_year, household_income_flag, household_income_level, pop_density_per_km2, pop_density_year, pop_density_flag, received_at FROM demographics")
+@query("SELECT record_id, release_no, nuts_id, CASE WHEN isnan(household_income_pps_per_hab) THEN NULL ELSE household_income_pps_per_hab END AS household_income_pps_per_hab, household_income_year, household_income_flag, household_income_level, CASE WHEN isnan(pop_density_per_km2) THEN NULL ELSE pop_density_per_km2 END AS pop_density_per_km2, pop_density_year, pop_density_flag, received_at FROM demographics")
 def legacy_names(spark, d) -> DataFrame:
-    """Old names made current."""
-    old = table(spark, d, "demographics").withColumnRenamed("household_income_year", "income_vintage")
+    """Old names made current; NaN is NULL, as wherever values are read."""
+    old = nan_to_null(table(spark, d, "demographics")).withColumnRenamed("household_income_year", "income_vintage")
     return files.with_current_names(old, {"income_vintage": "household_income_year"})
 
 

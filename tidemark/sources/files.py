@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.operators.evidence import html_to_text
+from tidemark.operators.grid import laea_europe
 
 #: Names that the tables had before, and names of the variables of a gridded file.
 LEGACY = {"poverty_rate": "poverty_rate_pct", "poverty_rate_year": "poverty_rate_pct_year", "poverty_rate_level": "poverty_rate_pct_level"}
@@ -74,6 +75,25 @@ def geojson(spark: SparkSession, path: str, properties: Mapping[str, str]) -> Da
     return features.select("f.properties.*", rings.alias("rings"))
 
 
+def reference_of(spark: SparkSession, path: str) -> str:
+    """The name of the reference system that a GeoJSON file declares; ValueError if it declares none, since guessing one moves every region."""
+    names = spark.read.schema("crs struct<properties: struct<name: string>>").json(path, multiLine=True).select("crs.properties.name").distinct().limit(2).collect()
+    if len(names) != 1 or names[0][0] is None:
+        raise ValueError(f"{path}: expected one declared reference system, found {[n[0] for n in names]}")
+    return names[0][0]
+
+
+def in_metres(polygons: DataFrame) -> DataFrame:
+    """Polygons in longitude and latitude with their rings in the metres of the equal-area projection of Europe; empty ones are dropped."""
+
+    def moved(p: Column) -> Column:
+        x, y = laea_europe(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    there = polygons.where(F.size("rings") > 0)
+    return there.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, moved)))
+
+
 def cells_from_grid(df: DataFrame, values: str, x0: float, y0: float, step: float, nodata: float | None = None) -> DataFrame:
     """Rows (row, values ARRAY) of a raster as cells (row, col, x, y, value) with centres; nodata and NaN become NULL."""
     cells = df.select("row", F.posexplode(values).alias("col", "raw"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import nan_to_null
+from tidemark.operators.grid import parts_of
 
 
 def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -41,10 +43,22 @@ def json_records(df: DataFrame) -> DataFrame:
 
 
 def geojson_features(polygons: DataFrame, key: str, decimals: int = 4) -> DataFrame:
-    """One GeoJSON feature per polygon, coordinates rounded and rings closed."""
+    """One GeoJSON feature per polygon, coordinates rounded and rings closed; several outlines make a MultiPolygon, each followed by its own holes."""
     ring = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(F.round(p["x"], decimals), F.round(p["y"], decimals)))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("rings", ring).alias("coordinates"))
-    return polygons.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(key).alias("properties"), geometry.alias("geometry"))).alias("feature"))
+    parts = F.transform(polygon_parts("rings"), lambda part: F.transform(part, ring))
+    feature = lambda kind, coordinates: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(key).alias("properties"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry")))
+    split = polygons.select(key, parts.alias("__parts"))
+    return split.select(key, F.when(F.size("__parts") == 1, feature("Polygon", F.get("__parts", F.lit(0)))).otherwise(feature("MultiPolygon", F.col("__parts"))).alias("feature"))
+
+
+_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(_POINT))))
+def polygon_parts(rings: pd.Series) -> pd.Series:
+    """Outlines with their holes, of the rings of a polygon with any number of parts."""
+    points = lambda polygon: [[(p["x"], p["y"]) for p in r] for r in polygon]
+    return rings.map(lambda polygon: None if polygon is None else [[[{"x": x, "y": y} for x, y in r] for r in part] for part in parts_of(points(polygon))])
 
 
 def topojson_arcs(polygons: DataFrame, key: str) -> DataFrame:

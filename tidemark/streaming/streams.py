@@ -76,6 +76,24 @@ def write_parts(df: DataFrame, path: str, by: Sequence[str], checkpoint: str, bu
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replayed(df: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame:
+    """What a stream of results by key gives over the input that is there, as a table of files below `folder`.
+
+    Every micro-batch writes the keys it changed, under its own number, so a batch that is done again replaces its
+    own files; the last value of a key counts. State is bounded by the stream's watermark, not by this.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
+
+    df.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/parts/*")
+    number = F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("bigint")
+    rest = [c for c in df.columns if c not in keys]
+    last = parts.withColumn("__b", number).groupBy(*keys).agg(F.max(F.struct("__b", *rest)).alias("__r"))
+    return last.select(*(F.col(f"__r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
+
+
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """What a stream gives over the input that is there, as a table in memory: for replays and tests."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
