@@ -122,13 +122,13 @@ def carried(df: DataFrame, group: Sequence[str], order: str, fields: Sequence[st
     parts, cut = bucketed(df, group, order, sizes, rows_per_bucket)
     here = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.col(order).alias("at"), F.col(f).alias("value")))
     back = Window.partitionBy(*group, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*group, BUCKET).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    parts = parts.withColumns({f"prev_{f}": F.last(here(f), ignorenulls=True).over(back) for f in fields} | {f"next_{f}": F.first(here(f), ignorenulls=True).over(ahead) for f in fields})
+    ahead = Window.partitionBy(*group, BUCKET).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)  # a frame that ends at the last row is worked out anew for each
+    parts = parts.withColumns({f"prev_{f}": F.last(here(f), ignorenulls=True).over(back) for f in fields} | {f"next_{f}": F.last(here(f), ignorenulls=True).over(ahead) for f in fields})
     if cut:
         ends = parts.groupBy(*group, BUCKET).agg(*(F.max(here(f)).alias(f"__l_{f}") for f in fields), *(F.min(here(f)).alias(f"__f_{f}") for f in fields))
         before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-        ends = ends.select(*group, BUCKET, *(F.last(f"__l_{f}", ignorenulls=True).over(before).alias(f"__p_{f}") for f in fields), *(F.first(f"__f_{f}", ignorenulls=True).over(after).alias(f"__n_{f}") for f in fields))
+        after = Window.partitionBy(*group).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*group, BUCKET, *(F.last(f"__l_{f}", ignorenulls=True).over(before).alias(f"__p_{f}") for f in fields), *(F.last(f"__f_{f}", ignorenulls=True).over(after).alias(f"__n_{f}") for f in fields))
         parts = join_same(parts, measured_side(ends, "ends"), [*group, BUCKET], "left")
         parts = parts.withColumns({f"prev_{f}": F.coalesce(f"prev_{f}", f"__p_{f}") for f in fields} | {f"next_{f}": F.coalesce(f"next_{f}", f"__n_{f}") for f in fields})
         parts = parts.drop(*(f"__p_{f}" for f in fields), *(f"__n_{f}" for f in fields))
