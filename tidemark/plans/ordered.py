@@ -93,13 +93,15 @@ def quantiles_of_counts(counts: DataFrame, group: Sequence[str], value: str, n:
     totals = measured_side(totals, "totals")
     ranked = running_sum(counts, group, [value], n, "__below", totals if most is None or most > rows_per_bucket else most, rows_per_bucket)
     placed = join_same(ranked, totals.select(*group, F.col("total").alias("__total")), group) if group else ranked.crossJoin(F.broadcast(totals.select(F.col("total").alias("__total"))))  # one row
-    at = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < F.col("__below") + F.col(n)), F.col(value)))
-    picks, mixed = [], []
+    end, picks, mixed, wanted = F.col("__below") + F.col(n), [], [], F.lit(False)
+    at = lambda rank: F.max(F.when((F.col("__below") <= rank) & (rank < end), F.col(value)))
     for i, p in enumerate(probs):
         place = F.lit(p) * (F.col("__total") - 1)
-        picks += [at(F.floor(place)).alias(f"__lo_{i}"), at(F.ceil(place)).alias(f"__hi_{i}"), F.max(place - F.floor(place)).alias(f"__part_{i}")]
-        mixed.append(F.col(f"__lo_{i}") + (F.col(f"__hi_{i}") - F.col(f"__lo_{i}")) * F.col(f"__part_{i}"))
-    return placed.groupBy(*group).agg(*picks).select(*group, F.array(*mixed).alias("quantiles"))
+        wanted = wanted | ((F.col("__below") <= F.ceil(place)) & (F.floor(place) < end))
+        picks += [at(F.floor(place)).alias(f"__lo_{i}"), at(F.ceil(place)).alias(f"__hi_{i}")]
+        mixed.append(F.col(f"__lo_{i}") + (F.col(f"__hi_{i}") - F.col(f"__lo_{i}")) * (place - F.floor(place)))
+    few = placed.where(wanted)  # the values next to a wanted rank; all others needn't be aggregated
+    return few.groupBy(*group).agg(F.max("__total").alias("__total"), *picks).select(*group, F.array(*mixed).alias("quantiles"))
 
 
 def quantiles(df: DataFrame, group: Sequence[str], values: Mapping[str, Column], probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
