@@ -46,11 +46,14 @@ def hashable(df: DataFrame, column: str) -> Column:
 
 
 def row_hash(columns: Sequence[Column], seed: int = 0) -> Column:
-    """64 bits of the values in order; a NULL differs from every value and from a NULL elsewhere."""
-    parts: list[Column] = [F.lit(seed)]
-    for c in columns:
-        parts += [c.isNull(), c]
-    return F.xxhash64(*parts)
+    """64 bits of the values in order; a NULL differs from every value and from a NULL elsewhere, as the places of NULLs go in as bits."""
+    words = []
+    for at in range(0, len(columns), 60):
+        word = F.lit(0).cast("bigint")
+        for i, c in enumerate(columns[at : at + 60]):
+            word = word + F.when(c.isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        words.append(word)
+    return F.xxhash64(F.lit(seed), *words, *columns)
 
 
 def distinct_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:

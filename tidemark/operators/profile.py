@@ -195,7 +195,7 @@ def drift(counts: DataFrame, load: str, profiled: DataFrame) -> DataFrame:
     past = past.select(F.col("__step"), F.col("column_name").alias("__c"), F.col(edges).alias("__edges"), (F.col("min_whole").isNotNull() & (F.col("n_distinct") <= FEW_VALUES)).alias("__few"))
     edged = tagged.join(measured_side(past, "edges"), (F.col("step") == F.col("__step")) & (F.col("column_name") == F.col("__c")), "left")
     value = F.coalesce("num", F.col("whole").cast("double"))
-    below = F.size(F.filter("__edges", lambda e: e < value)).cast("string")
+    below = sum((F.when(F.get("__edges", F.lit(i)) < value, 1).otherwise(0) for i in range(len(DECILES))), F.lit(0)).cast("string")
     label = F.when(_null() | _nan(), "missing").when(F.col("txt").isNotNull(), F.concat(F.lit("="), "txt"))
     label = label.when(F.col("__few") & F.col("whole").isNotNull(), F.concat(F.lit("="), F.col("whole").cast("string"))).when(F.col("__edges").isNotNull(), F.concat(F.lit("above "), below)).otherwise("new")
     side = lambda now: F.coalesce(F.sum(F.when(F.col("now") == F.lit(now), F.col("n"))), F.lit(0))
