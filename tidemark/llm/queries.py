@@ -206,8 +206,8 @@ SELECT request_id, lau_id, avg(CASE WHEN abs(d) <= 0.425 THEN d * {ratio('0.1806
 
 
 _P7_SOURCES = rf"""
-WITH s AS (SELECT regexp_replace(lower(source), '^{_WS}+|{_WS}+$', '', 'g') AS source, sum(octet_length(encode(text)))::BIGINT AS available FROM documents GROUP BY 1),
-m AS (SELECT t.*, coalesce(available, 0) AS available, sum(coalesce(available, 0)) OVER (PARTITION BY mix_id)::BIGINT AS mix_tokens FROM mix_targets t LEFT JOIN s ON lower(t.source) = s.source)
+WITH s AS (SELECT regexp_replace(lower(source), '^{_WS}+|{_WS}+$', '', 'g') AS source, sum(octet_length(encode(text)))::BIGINT AS available, min(nullif(octet_length(encode(text)), 0)) AS smallest FROM documents GROUP BY 1),
+m AS (SELECT t.*, smallest, coalesce(available, 0) AS available, sum(coalesce(available, 0)) OVER (PARTITION BY mix_id)::BIGINT AS mix_tokens FROM mix_targets t LEFT JOIN s ON lower(t.source) = s.source)
 """
 _P7 = f"{_P7_SOURCES} SELECT mix_id, source FROM m WHERE available * max_repeats < target_share * mix_tokens"
 
@@ -233,7 +233,7 @@ UNION SELECT passage_id, 'long_sentence' FROM s WHERE list_max(list_transform(pa
     "p6_found": f"SELECT doc_id FROM documents WHERE octet_length(encode(text)) > {CONTAINER_TOKENS}",
     "p7_found": _P7,
     "p7_budgets": f"{_P7_SOURCES} SELECT mix_id, source, target_share, max_repeats, available, mix_tokens, floor(target_share * mix_tokens)::BIGINT AS budget, true AS proved, true AS near, available * max_repeats < target_share * mix_tokens AS falls_short FROM m",
-    "p7_totals": f"{_P7_SOURCES} SELECT mix_id, lower(source) AS source, true AS adds_up, true AS within, true AS repeats_kept FROM m WHERE least(floor(target_share * mix_tokens), available * max_repeats) > 0",
+    "p7_totals": f"{_P7_SOURCES} SELECT mix_id, lower(source) AS source, true AS adds_up, true AS within, true AS repeats_kept FROM m WHERE least(floor(target_share * mix_tokens), available * max_repeats) >= smallest",
     "p8_found": f"{_P8} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.s = b.s AND a.doc_id < b.doc_id",
     "p8_spans": f'{_P8_SPANS} SELECT doc_id AS doc, start, stop AS "end", n_docs FROM sp',
     "p8_coverage": f"{_P8_SPANS}, c AS (SELECT doc_id, count(*) AS n_spans, sum(stop - start) AS shared FROM sp GROUP BY 1) SELECT d.doc_id AS doc, length(text) AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared, 0) AS shared_chars, coalesce(shared, 0) / nullif(length(text), 0)::DOUBLE AS shared_share FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id",
