@@ -99,7 +99,7 @@ def best_subset(counts: dict[int, int], budget: int, seed: int, states: int = SE
     scaled = [n // unit for n in lengths]
     need = min(sum(n * taken[n] for n in lengths) // unit, 2 * (largest // unit) ** 2)
     back, best = 0, (0, {})
-    while short and back <= states - short - 1:
+    while short and min(back, need) <= states - short - 1:
         got, change = _reach(scaled, {n // unit: counts[n] - taken[n] for n in lengths}, {n // unit: taken[n] for n in lengths}, min(back, need), short)
         if got == short or back >= need:
             for n, more in change.items():
