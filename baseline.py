@@ -132,11 +132,11 @@ def p2_found():
 
 
 def p4_found():
-    from tidemark.llm.splitting import longest_sentence, sentence_ends, tidy
-
     p = read("passages", "passage_id", "text").drop_duplicates("passage_id")
-    words = [tidy(t)[0] for t in p.text.fillna("")]
-    return [(i, longest_sentence(w, sentence_ends(w)) > 900) for i, w in zip(p.passage_id, words) if len(w) > 900]
+    ends = re.compile("[.!?…][)\\]\"”’»']*(?= [(\\[\"“‘«']*[^\\W\\d_a-zß-öø-ÿ])")
+    words = [" ".join(t.split()) for t in p.text.fillna("")]
+    longest = lambda w: max(len(s) for s in ends.split(w))
+    return [(i, longest(w) > 900) for i, w in zip(p.passage_id, words) if len(w) > 900]
 
 
 def p6_found():
