@@ -150,3 +150,24 @@ def test_leading_group_goes_down_the_ranking(spark):
     ranked = rank_items(df, ["g"], "item", ["a", "b", "c"])
     assert ranked.where("item = 'lead'").first()["rank"] > 1
     assert [x.item for x in leading_group(df, ranked, ["g"], "item", ["a", "b", "c"], "top", depth=1).collect()] == ["lead"]
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_leading_group_without_a_leading_set(spark, depth):
+    """Three items beat each other in a circle and all the rest, one of them far down the ranking; and groups without any order, values or both."""
+    r = random.Random(3)
+    rows = [("circle", *x, 0, 0, 0.1, 2) for x in [("a", 103.0, -1.0, 102.0), ("b", 102.0, 103.0, 101.0), ("c", 101.0, 102.0, 103.0)] + [(f"i{i}", i / 10, i / 10, i / 10) for i in range(40)]]
+    rows += [(f"g{k}", f"i{i}", *(r.choice([r.randint(0, 5) * 1.0, r.random(), None]) for _ in range(3)), 0, 0, 0.1, k) for k in (0, 1, 4, 7, 14, 20) for i in range(15)]
+    rows += [(g, f"i{i}", None, None, None, 0, 0, 0.1, k) for g, n, k in (("none", 9, 2), ("alone", 1, 1), (None, 3, 3), ("unasked", 3, None)) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ranked = rank_items(df, ["g"], "item", ["a", "b", "c"])
+    assert ranked.where("g = 'circle' AND item = 'a'").first()["rank"] > 4
+    got = [tuple(x) for x in leading_group(df, ranked, ["g"], "item", ["a", "b", "c"], "top", depth).collect()]
+    want = []
+    for x in rows:
+        others = [y for y in rows if y[0] == x[0] and y[1] != x[1]]
+        beats = lambda y: 2 * sum(x[k] is not None and y[k] is not None and x[k] > y[k] for k in (2, 3, 4)) > sum(x[k] is not None and y[k] is not None for k in (2, 3, 4))  # noqa: B023, E731
+        if x[8] is not None and sum(map(beats, others)) >= len(others) + 1 - x[8]:
+            want.append((x[0], x[1]))
+    assert {i for g, i in want if g == "circle"} == {"a", "b", "c"}
+    assert sorted(got, key=repr) == sorted(want, key=repr)

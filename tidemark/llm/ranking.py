@@ -228,38 +228,45 @@ def rank_bounds(ranked: DataFrame, group: Sequence[str], rows_per_bucket: int =
     return bounds.withColumn("rank_holds", F.col("rank_best") == F.col("rank_worst")).drop("__low", "__high", "__id", "parts", "__over", "__under", "__all", "__more_over", "__more_under")
 
 
+def _losses(mine: DataFrame, others: DataFrame, group: Sequence[str], n: int) -> DataFrame:
+    """(group, __item, __top, __lost): how many of the `others` of its group each of `mine` is not above on more than half of the n values both have."""
+    others = others.select(*group, F.col("__item").alias("__other"), F.col("__v").alias("__other_v"))
+    wins, both = F.lit(0), F.lit(0)
+    for i in range(n):
+        x, y = F.get("__v", F.lit(i)), F.get("__other_v", F.lit(i))
+        wins = wins + F.when(x > y, 1).otherwise(0)
+        both = both + F.when(x.isNotNull() & y.isNotNull(), 1).otherwise(0)
+    lost = ~F.col("__item").eqNullSafe(F.col("__other")) & (wins * 2 <= both)
+    return join_same(mine, others, group).groupBy(*group, "__item", "__top").agg(F.count_if(lost).alias("__lost"))
+
+
 def leading_group(items: DataFrame, ranked: DataFrame, group: Sequence[str], item: str, scores: Sequence[str], top: str, depth: int = 2) -> DataFrame:
     """(group, item) of the `top` items that each beat every other item on most of the scores both have.
 
-    `top` is a column of `items`. The ranking proposes its first `depth` x top items; each is then compared with
-    all items of its group. Let a group of N have such a leading group of k: its members beat the N - k others,
-    and no other item beats that many, since it loses to all k. So the count of items beaten decides membership
-    exactly, one candidate at a time. Where fewer than k are found the ranking is followed further down, until k
-    are found or the group ends. Items with NULL ranks come last. Item ids are unique in a group. If a group has no such set, the members found
-    are those that beat at least N - k items.
+    `top` is a column of `items`. Let a group of N have such a leading group of k: its members beat the N - k others,
+    and no other item beats that many, since it loses to all k. So an item is a member if there are fewer than k others
+    that it doesn't beat. If a group has no such set, all items of which that holds are found, up to 2k - 1 of them.
+
+    The ranking proposes its first `depth` x top items, which are compared with all items of their group. Where k or
+    more of them are members and beat all items but one another, nobody else can be one. In the other groups all items
+    are compared with those proposed: who doesn't beat k of these is out. Whoever is left, wherever it ranks, is compared
+    with all items. So the ranking decides only how many comparisons there are, not what is found. Item ids are unique
+    in a group.
     """
-    numbers = items.groupBy(*group).agg(F.count_distinct(item).alias("__all"), F.max(top).alias("__top")).filter("__top IS NOT NULL")
-    numbers = stage(numbers, "groups")
-    order = stage(ranked.select(*group, item, F.coalesce("rank", F.lit(2**62)).alias("__rank"), F.col("parts.values").alias("__v")), "order")
-    open_groups, found, deep = numbers, None, depth
-    while True:
-        reach = F.col("__top") * deep
-        near = join_same(order, open_groups, group).filter((F.col("__rank") <= reach) | (reach >= F.col("__all"))).select(*group, "__all", "__top", F.col(item).alias("__item"), F.col("__v").alias("__mine"))
-        near = measured_side(near, "candidates")
-        pairs = join_same(order, near, group).filter(~F.col(item).eqNullSafe(F.col("__item")))
-        wins, both = F.lit(0), F.lit(0)
-        for i in range(len(scores)):
-            mine, other = F.get("__mine", F.lit(i)), F.get("__v", F.lit(i))
-            wins = wins + F.when(mine > other, 1).otherwise(0)
-            both = both + F.when(mine.isNotNull() & other.isNotNull(), 1).otherwise(0)
-        beaten = pairs.groupBy(*group, "__item", "__all", "__top").agg(F.count_if(wins * 2 > both).alias("__beaten"))
-        alone = near.filter("__all = 1").select(*group, "__item", "__all", "__top", F.lit(0).cast("bigint").alias("__beaten"))
-        members = stage(beaten.unionByName(alone).filter("__beaten >= __all - __top").select(*group, F.col("__item").alias(item)), "members")
-        found = members if found is None else found.unionByName(members)
-        counted = join_same(open_groups, members.groupBy(*group).agg(F.count(F.lit(1)).alias("__found")), group, "left")
-        short = counted.filter((F.coalesce("__found", F.lit(0)) < F.least("__top", "__all")) & (F.col("__top") * deep < F.col("__all"))).drop("__found")
-        short = stage(short, "open_groups")
-        if short.isEmpty():
-            return found
-        found = join_same(found, short, group, "left_anti")
-        open_groups, deep = short, deep * 4
+    n, key = len(scores), [*group, "__item"]
+    tops = stage(items.groupBy(*group).agg(F.max(top).alias("__top")).filter("__top > 0"), "groups")
+    order = stage(join_same(ranked.select(*group, F.col(item).alias("__item"), F.col("rank").alias("__rank"), F.col("parts.values").alias("__v")), tops, group), "order")
+    near = measured_side(order.filter(F.col("__rank") <= F.col("__top") * depth).drop("__rank"), "candidates")
+    members = stage(join_same(_losses(near, order, group, n).filter("__lost < __top"), near.drop("__top"), key), "members")
+    inside = _losses(members, members, group, n).groupBy(*group).agg(F.sum("__lost").alias("__inside"))
+    counted = members.groupBy(*group, "__top").agg(F.count(F.lit(1)).alias("__found"), F.sum("__lost").alias("__lost"))
+    settled = join_same(counted, inside, group).filter("__found >= __top AND __lost = __inside")
+    open_groups = stage(join_same(tops, settled, group, "left_anti"), "open_groups")
+    if open_groups.isEmpty():
+        return members.select(*group, F.col("__item").alias(item))
+    rows = stage(join_same(order, open_groups, group, "left_semi"), "open_rows")
+    out = _losses(rows, near, group, n).filter("__lost >= __top")
+    left = measured_side(join_same(rows, out, key, "left_anti"), "left")
+    more = _losses(left, rows, group, n).filter("__lost < __top")
+    found = join_same(members, open_groups, group, "left_anti").select(*key).unionByName(more.select(*key))
+    return found.withColumnRenamed("__item", item)
