@@ -34,3 +34,10 @@ def test_evidence_ids_shuffles_no_pairs(spark, corpus):
     rows = []
     moved = shuffled(spark, lambda: rows.extend(evidence.evidence_rows(evidence.bm25(docs, "id", "text", asked, "q", "question"), docs, "q", "id", "text").collect()))
     assert len(rows) == 5 * N // 2 and moved < N * N // 8  # of N x N / 2 pairs with a word in common
+
+
+def test_gate_shuffles_no_pairs(spark, corpus):
+    docs, asked = corpus
+    rows = []
+    moved = shuffled(spark, lambda: rows.extend(evidence.gated(evidence.bm25(docs, "id", "text", asked, "q", "question"), "q").groupBy("q").count().collect()))
+    assert {r["count"] for r in rows} == {5} and len(rows) == N // 2 and moved < N * N // 8
